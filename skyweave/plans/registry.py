@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from skyweave.plans import photos
+
+_MODULES = (photos,)
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.oracle_sql().items()}
