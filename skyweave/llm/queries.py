@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from skyweave.llm.caps import cap_contributors
 from skyweave.llm.groups import connected_groups
+from skyweave.llm.leaks import find_leaks
+from skyweave.llm.packing import pack_texts
+from skyweave.llm.quality import quality
 from skyweave.llm.topn import top_n_per_group
 from skyweave.llm.vectors import IndexParams, most_similar
 from skyweave.operators.keyed import latest
@@ -137,9 +140,90 @@ SELECT DISTINCT least(q, o) AS member_lo, greatest(q, o) AS member_hi FROM r WHE
 """
 
 
+def p4_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The lists of every view whose id is divisible by 50, against all views."""
+    near = most_similar(_table(spark, sf, "batch_members"), "member_id", "descriptors", 5, VIEW_INDEX, at="predicted_at", queries="id % 50 = 0")
+    return near.select(F.col("id").alias("member_id"), F.col("other").alias("other_id"), "sim", "rank")
+
+
+def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """The container of every text: ``doc_id, part, parts, tokens, container``."""
+    packed = pack_texts(_table(spark, sf, "documents"), "doc_id", "text", 1024)
+    return packed.select(F.col("id").alias("doc_id"), "part", "parts", F.col("size").alias("tokens"), "container")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_pack(spark, sf).filter("parts > 1").select("doc_id").distinct()
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    leaks = find_leaks(_table(spark, sf, "documents"), "doc_id", "text", _table(spark, sf, "eval_items"), "item_id", "text")
+    return leaks.filter("exact_windows > 0").select("doc_id", "item_id")
+
+
+def p8_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics, rules and nearest structural profile of every text."""
+    return quality(_table(spark, sf, "documents"), "doc_id", "text", _table(spark, sf, "common_words"))
+
+
+def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics alone, rounded, for comparison with SQL."""
+    six = lambda c: (F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c)
+    return p8_stats(spark, sf).select("doc_id", F.col("words").cast("long").alias("words"), six("mean_word_length"), six("symbol_share"), six("line_end_share"), six("common_share"), "not_prose")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    judged = p8_stats(spark, sf)
+    # every text has a nearest profile; the rules that the statement fixes decide
+    return judged.filter("not_prose and profile is not null and (divergence is null or divergence >= 0)").select("doc_id")
+
+
+_SEP = "[ \\t\\r\\n\u00a0]"
+_P8 = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{_SEP}+'), lambda x: x <> '') AS w,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\r\\n\u00a0]')) AS l,
+             length(regexp_replace(text, '{_SEP}', '', 'g')) AS chars,
+             length(regexp_replace(text, '[^#$%&*+/<=>@\\\\^_|~{{}}\\[\\]•]', '', 'g')) AS sym FROM t),
+c AS (SELECT doc_id, len(w) AS words, chars, sym, len(l) AS lines,
+             len(list_filter(l, lambda x: regexp_matches(x, '[.!?…;:]{_SEP}*\\z'))) AS ended,
+             len(list_filter(w, lambda x: list_contains(cw, trim(lower(x), '.,;:!?…"''()[]«»¿¡–—')))) AS common FROM w, (SELECT list(DISTINCT word) AS cw FROM common_words)),
+s AS (SELECT doc_id, words, lines, CASE WHEN words > 0 THEN chars::DOUBLE / words END AS mwl, CASE WHEN chars > 0 THEN sym::DOUBLE / chars END AS ss,
+             CASE WHEN lines > 0 THEN ended::DOUBLE / lines END AS le, CASE WHEN words > 0 THEN common::DOUBLE / words END AS cs FROM c),
+f AS (SELECT *, words < 3 OR coalesce(mwl < 2.5 OR mwl > 11, FALSE) OR coalesce(ss > 0.08, FALSE) OR (lines >= 3 AND coalesce(le < 0.5, FALSE)) OR coalesce(cs < 0.1, FALSE) AS not_prose FROM s)
+"""
+P8_FOUND = _P8 + "SELECT doc_id FROM f WHERE not_prose"
+P8_COUNTS = (
+    _P8
+    + """SELECT doc_id, words, floor(mwl * 1e6 + 0.5) / 1e6 AS mean_word_length, floor(ss * 1e6 + 0.5) / 1e6 AS symbol_share,
+floor(le * 1e6 + 0.5) / 1e6 AS line_end_share, floor(cs * 1e6 + 0.5) / 1e6 AS common_share, not_prose FROM f"""
+)
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_share": p2_share, "p3_found": p3_found, "p4_found": p4_found}
+    return {
+        "p1_found": p1_found,
+        "p2_found": p2_found,
+        "p2_share": p2_share,
+        "p3_found": p3_found,
+        "p4_found": p4_found,
+        "p4_lists": p4_lists,
+        "p6_found": p6_found,
+        "p6_pack": p6_pack,
+        "p7_found": p7_found,
+        "p8_found": p8_found,
+        "p8_counts": p8_counts,
+        "p8_stats": p8_stats,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_share": P2_SHARE, "p3_found": P3_FOUND, "p4_found": P4_FOUND}
+    return {
+        "p1_found": P1_FOUND,
+        "p2_found": P2_FOUND,
+        "p2_share": P2_SHARE,
+        "p3_found": P3_FOUND,
+        "p4_found": P4_FOUND,
+        "p8_found": P8_FOUND,
+        "p8_counts": P8_COUNTS,
+    }
