@@ -3,12 +3,11 @@
 All statistics are JVM-side expressions over the whole text. A text's structure is judged by two
 distributions, that of its characters over classes and that of its words over the languages' common words. They are
 compared by Jensen-Shannon divergence with profiles: prose of each language, lists, tables and junk. The
-profiles are sums over all documents of the corpus; the nearest one is assigned.
+profiles are means over all documents of the corpus; the nearest one is assigned.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -118,10 +117,6 @@ def _kind(languages: list[str]) -> Column:
     return F.when(F.col("few_words") | F.col("odd_word_length"), "junk").when(F.col("many_symbols"), "table").when(F.col("open_lines"), "list").when(F.col("few_common"), "junk").otherwise(prose)
 
 
-def _distribution(counts: list, total) -> list:
-    return [c / total for c in counts]
-
-
 def _divergence(p: Column, q: Column) -> Column:
     """Jensen-Shannon divergence in bits of two distributions, given as arrays."""
     part = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0))
@@ -142,18 +137,14 @@ def quality(df: DataFrame, key: str, text: str, common: DataFrame, lang: str = "
     tongues = [f"f_{k}" for k in range(len(languages))]
     any_rule = F.col("few_words") | F.col("odd_word_length") | F.col("many_symbols") | F.col("open_lines") | F.col("few_common")
     unknown = F.greatest(F.col("words").cast("long") - F.col("common_words"), F.lit(0))
-    # one row per language and three more
-    sums = stats.groupBy(_kind(languages).alias("kind")).agg(*[F.sum(c).alias(c) for c in classes + tongues], F.sum(unknown).alias("f_none")).orderBy("kind").collect()
-    profiles = []
-    for r in sums:
-        total, words = sum(r[c] for c in classes), sum(r[c] for c in [*tongues, "f_none"])
-        if total:
-            by_word = _distribution([r[c] for c in [*tongues, "f_none"]], words) if words else [0.0] * len(tongues) + [1.0]
-            profiles.append(F.struct(F.lit(r.kind).alias("kind"), F.lit(_distribution([float(r[c]) for c in classes], total)).alias("c"), F.lit([float(x) for x in by_word]).alias("w")))
     counts = stats.withColumn("c", F.array(*[F.col(c).cast("double") for c in classes])).withColumn("w", F.array(*[F.col(c).cast("double") for c in tongues], unknown.cast("double")))
     summed = lambda c: F.aggregate(c, F.lit(0.0), lambda total, x: total + x)
     shares = counts.withColumn("c_total", summed("c")).withColumn("w_total", summed("w"))
     shares = shares.withColumn("c", F.transform("c", lambda x: x / F.greatest("c_total", F.lit(1.0)))).withColumn("w", F.transform("w", lambda x: x / F.greatest("w_total", F.lit(1.0))))
+    mean = lambda c, n: F.array(*[F.round(F.avg(F.get(c, F.lit(k))), 9) for k in range(n)]).alias(c)
+    built = shares.filter("c_total > 0").groupBy(_kind(languages).alias("kind")).agg(mean("c", len(classes)), mean("w", len(tongues) + 1))
+    # one row per language and three more
+    profiles = [F.struct(F.lit(r.kind).alias("kind"), F.lit(list(r.c)).alias("c"), F.lit(list(r.w)).alias("w")) for r in built.orderBy("kind").collect()]
     measured = lambda r: F.struct(F.round(_divergence(F.col("c"), r["c"]) + _divergence(F.col("w"), r["w"]), 6).alias("divergence"), r["kind"].alias("profile"))
     nearest = F.array_min(F.transform(F.array(*profiles), measured)) if profiles else F.lit(None).cast("struct<divergence:double,profile:string>")
     out = shares.withColumn("not_prose", any_rule).withColumn("near", F.when(F.col("c_total") > 0, nearest))
