@@ -114,7 +114,9 @@ def _kind(languages: list[str]) -> Column:
     prose = F.lit("prose")
     for k in reversed(range(len(languages))):
         prose = F.when(F.col(f"f_{k}") == own, F.lit(f"prose:{languages[k]}")).otherwise(prose)
-    return F.when(F.col("few_words") | F.col("odd_word_length"), "junk").when(F.col("many_symbols"), "table").when(F.col("open_lines"), "list").when(F.col("few_common"), "junk").otherwise(prose)
+    table = F.col("many_symbols") & F.col("open_lines")
+    junk = F.col("few_words") | F.col("odd_word_length") | F.col("many_symbols") | F.col("few_common")
+    return F.when(table, "table").when(F.col("open_lines"), "list").when(junk, "junk").otherwise(prose)
 
 
 def _divergence(p: Column, q: Column) -> Column:
