@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from skyweave.operators.keyed import latest
 from skyweave.operators.spatial import containing_regions, near_pairs
+from skyweave.plans.tables import Book
+
+book = Book()
 
 
 def photo_positions(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,14 +26,6 @@ def photo_positions(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("name", kept("lat"), kept("lon"), "alt")
 
 
-def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    photos = photo_positions(spark, sf)
-    near = near_pairs(photos, "name", "lat", "lon", 5.0).select(F.lit("near").alias("kind"), "key_a", "key_b")
-    zones = spark.read.parquet(f"{sf}/zones.parquet")
-    inside = containing_regions(photos, "name", "lat", "lon", zones, "zone_code", "lons", "lats")
-    return near.unionByName(inside.select(F.lit("zone").alias("kind"), F.col("key").alias("key_a"), F.col("region").alias("key_b")))
-
-
 P5_FOUND = r"""
 WITH g AS (SELECT regexp_extract(names, '[^/\\]*$') AS name, lla[1] AS lat, lla[2] AS lon, received_at FROM gps WHERE names IS NOT NULL),
 l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY received_at DESC NULLS LAST, lat DESC NULLS LAST, lon DESC NULLS LAST) k FROM g) WHERE k = 1),
@@ -47,9 +42,13 @@ UNION ALL SELECT 'zone', name, zone_code FROM i WHERE n % 2 = 1
 """
 
 
-def queries() -> dict:
-    return {"p5_found": p5_found}
+@book.query(P5_FOUND)
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    photos = photo_positions(spark, sf)
+    near = near_pairs(photos, "name", "lat", "lon", 5.0).select(F.lit("near").alias("kind"), "key_a", "key_b")
+    zones = spark.read.parquet(f"{sf}/zones.parquet")
+    inside = containing_regions(photos, "name", "lat", "lon", zones, "zone_code", "lons", "lats")
+    return near.unionByName(inside.select(F.lit("zone").alias("kind"), F.col("key").alias("key_a"), F.col("region").alias("key_b")))
+
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_FOUND}

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from skyweave.plans import photos
+from skyweave.plans import covisibility, evaluation, graph_edges, graphs, photos
 
-_MODULES = (photos,)
+_BOOKS = (covisibility.book, graph_edges.book, evaluation.book, graphs.book, photos.book)
 
 
 def queries() -> dict[str, Callable]:
-    return {name: f for m in _MODULES for name, f in m.queries().items()}
+    return {name: f for b in _BOOKS for name, f in b.found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _MODULES for name, sql in m.oracle_sql().items()}
+    return {name: sql for b in _BOOKS for name, sql in b.sql.items()}
