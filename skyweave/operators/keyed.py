@@ -28,7 +28,7 @@ def latest(df: DataFrame, keys: Sequence[str], at: str, ties: Sequence[str] = ()
 #: At most this many keys are treated as heavy: each holds more than 1/HEAVY_KEYS of the rows.
 HEAVY_KEYS = 20_000
 #: A key with fewer rows than this is never heavy.
-HEAVY_ROWS = 10_000
+HEAVY_ROWS = 100_000
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", rows: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyweave.operators.keyed import lookup_join
 from skyweave.session import materialise, shuffle_width
 
 
@@ -38,3 +39,37 @@ def with_index(df: DataFrame, order: Sequence[Column], name: str = "idx") -> Dat
 def six(c: Column) -> Column:
     """Rounded to 6 decimals so that both engines agree on quotients and sums."""
     return F.floor(c * 1e6 + 0.5) / 1e6
+
+
+def positions_in_group(df: DataFrame, group: str, order: Sequence[Column], name: str = "pos", size: str = "size") -> DataFrame:
+    """Rows with their 0-based place in the group and the group's size, however large a group is.
+
+    The global order (group, then ``order``) must tell all rows apart; a NULL group is a group of its own.
+    """
+    numbered = materialise(with_index(df, [F.col(group).asc_nulls_first(), *order], "__g"), "positions")
+    sizes = numbered.groupBy(group).agg(F.min("__g").alias("__first"), F.count(F.lit(1)).alias(size))
+    key = F.struct(F.col(group))
+    placed = lookup_join(numbered.withColumn("__k", key), sizes.select(key.alias("__k"), "__first", size), "__k", "inner")
+    return placed.withColumn(name, F.col("__g") - F.col("__first")).drop("__k", "__g", "__first")
+
+
+def grouped_quantile(df: DataFrame, group: str, value: str, q: float, name: str = "q") -> DataFrame:
+    """The exact quantile (linear between ranks) of every group; missing values do not count.
+
+    Values are counted first, so equal ones travel once, and ordered across partitions: no task holds a whole group.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    per = materialise(rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")), "quantile-values")
+    run = running_totals(per, [F.col("g").asc_nulls_first(), F.col("v")], {"upto": F.col("n")})
+    run = materialise(run, "quantile-totals")
+    sizes = run.groupBy("g").agg(F.max("upto").alias("last"), F.sum("n").alias("size"))
+    key = F.struct("g").alias("k")
+    both = lookup_join(run.withColumn("k", F.struct("g")), sizes.select(key, "last", "size"), "k", "inner")
+    high = F.col("upto") - (F.col("last") - F.col("size"))  # ranks (high - n, high] of the group hold this value
+    at = (F.col("size") - 1) * F.lit(float(q))
+    low_rank, high_rank = F.floor(at) + 1, F.ceil(at) + 1
+    holds = lambda rank: (rank > high - F.col("n")) & (rank <= high)
+    ends = both.filter(holds(low_rank) | holds(high_rank)).groupBy("g").agg(
+        F.min(F.when(holds(low_rank), F.col("v"))).alias("a"), F.max(F.when(holds(high_rank), F.col("v"))).alias("b"), F.max(at - F.floor(at)).alias("part")
+    )
+    return ends.select(F.col("g").alias(group), (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias(name))

@@ -15,7 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyweave.functions.geo import ecef_array, latitude_reach, longitude_reach
@@ -265,3 +266,83 @@ def containing_regions(df: DataFrame, key: str, lat: str, lon: str, regions: Dat
     met = met.join(F.broadcast(sizes), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     found = placed.groupBy("cell", "block").cogroup(met.groupBy("cell", "block")).applyInArrow(_inside, "key string, region string")
     return found.distinct()
+
+
+def _nearest_of_block(k: int):
+    def nearest(queries: pa.Table, points: pa.Table) -> pa.Table:
+        if not queries.num_rows or not points.num_rows:
+            return pa.table({"key": pa.array([], pa.string()), "other": pa.array([], pa.string()), "dist_m": pa.array([], pa.float64())})
+        q = ecef_array(np.asarray(queries.column("lat")), np.asarray(queries.column("lon")))
+        order = points.column("key").combine_chunks()
+        points = points.take(pc.sort_indices(order))
+        names, asked = points.column("key").to_pylist(), queries.column("key").to_pylist()
+        at = ecef_array(np.asarray(points.column("lat")), np.asarray(points.column("lon")))
+        place = {n: i for i, n in enumerate(names)}
+        rows: list[tuple] = []
+        for i in range(0, len(asked), 256):
+            part = q[i : i + 256]
+            d = np.sqrt(np.maximum(((part[:, None, :] - at[None, :, :]) ** 2).sum(2), 0))
+            for row, name in enumerate(asked[i : i + 256]):
+                if name in place:
+                    d[row, place[name]] = np.inf
+            best = np.argsort(np.round(d, 6), axis=1, kind="stable")[:, :k]
+            for row in range(len(part)):
+                rows += [(asked[i + row], names[j], float(d[row, j])) for j in best[row] if np.isfinite(d[row, j])]
+        a, b, c = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table({"key": pa.array(a, pa.string()), "other": pa.array(b, pa.string()), "dist_m": pa.array(c, pa.float64())})
+
+    return nearest
+
+
+def nearest_points(df: DataFrame, key: str, lat: str, lon: str, k: int, *, start_m: float = 50.0, cell_rows: int = 4000) -> DataFrame:
+    """The ``k`` nearest other keys of every key: ``key, other, dist_m, rank``; equal distances (to a micrometre) by smaller key.
+
+    A key's list is final when its k-th distance is within the reach that its cell was given; the others try again with
+    four times the reach, against the points that are then in reach. Keys must have one position each; other conditions as in :func:`near_pairs`.
+    """
+    points = materialise(positions(df, key, lat, lon).withColumn("key", F.col("key").cast("string")).dropDuplicates(["key"]), "nearest-points")
+    rows = points.count()
+    strips = latitude_strips(points, rows, cell_rows=cell_rows)
+    sent = df.sparkSession.sparkContext.broadcast(strips)
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = sent.value.home(np.asarray(batch.column(1)), np.asarray(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), *batch.columns], ["cell", "key", "lat", "lon"])
+
+    schema = "cell long, key string, lat double, lon double"
+    left, done, reach_m = points, None, start_m
+    while True:
+        last = reach_m > 2.6e7
+        dlat = 180.0 if last else latitude_reach(reach_m)
+
+        def spread(batches: Iterator[pa.RecordBatch], dlat=dlat, reach_m=reach_m, last=last) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                y, x = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+                turn = np.full(len(y), 180.0) if last else longitude_reach(y, reach_m)
+                row, cell = sent.value.reached(y - dlat, y + dlat, x - turn, x + turn)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), *[c.take(pa.array(row)) for c in batch.columns]], ["cell", "key", "lat", "lon"])
+
+        asking = materialise(left.select("key", "lat", "lon").mapInArrow(home, schema), "nearest-asking")
+        # one row per cell, at most MAX_STRIPS * MAX_CUTS
+        cells = asking.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell_rows)).cast("int").alias("qn"))
+        reached = points.select("key", "lat", "lon").mapInArrow(spread, schema).join(F.broadcast(cells), "cell")
+        sizes = reached.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(4 * cell_rows)).cast("int").alias("pn"))
+        block = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        q = asking.join(F.broadcast(cells), "cell").join(F.broadcast(sizes), "cell").withColumn("q", block("qn")).withColumn("p", every("pn"))
+        p = reached.join(F.broadcast(sizes), "cell").withColumn("p", block("pn")).withColumn("q", every("qn"))
+        pick = ["cell", "q", "p", "key", "lat", "lon"]
+        found = q.select(*pick).groupBy("cell", "q", "p").cogroup(p.select(*pick).groupBy("cell", "q", "p")).applyInArrow(_nearest_of_block(k), "key string, other string, dist_m double")
+        w = Window.partitionBy("key").orderBy(F.round("dist_m", 6), "other")
+        lists = materialise(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "nearest-lists")
+        if last:
+            ready = lists
+        else:
+            final = lists.filter((F.col("rank") == k) & (F.col("dist_m") <= reach_m)).select("key")
+            ready = lists.join(final, "key", "left_semi")
+            left = materialise(left.join(final, "key", "left_anti"), "nearest-left")
+        done = ready if done is None else done.unionByName(ready)
+        if last or left.isEmpty():
+            return done
+        reach_m *= 4
