@@ -8,11 +8,16 @@ profiles are means over all documents of the corpus; the nearest one is assigned
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyweave.session import materialise
+
 # Separators of words, marks and signs by which texts are judged.
 SEPARATORS = " \t\r\n "
 SYMBOLS = "#$%&*+/<=>@\\^_|~{}[]•"
@@ -119,11 +124,37 @@ def _kind(languages: list[str]) -> Column:
     return F.when(table, "table").when(F.col("open_lines"), "list").when(junk, "junk").otherwise(prose)
 
 
-def _divergence(p: Column, q: Column) -> Column:
-    """Jensen-Shannon divergence in bits of two distributions, given as arrays."""
-    part = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0))
-    both = F.zip_with(p, q, lambda a, b: (part(a, (a + b) / 2) + part(b, (a + b) / 2)) / 2)
-    return F.aggregate(both, F.lit(0.0), lambda total, x: total + x)
+def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon divergence in bits of every row of ``p`` from every row of ``q``."""
+    a, b = p[:, None, :], q[None, :, :]
+    m = (a + b) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = lambda x: np.where(x > 0, x * np.log2(x / m), 0.0).sum(2)
+        return (part(a) + part(b)) / 2
+
+
+def _shares(counts: np.ndarray) -> np.ndarray:
+    return counts / np.maximum(counts.sum(1, keepdims=True), 1.0)
+
+
+def _judge(names: list[str], by_class: np.ndarray, by_word: np.ndarray, classes: list[str], words: list[str], kept: list[str]):
+    """Adds the nearest profile to batches of statistics."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = lambda columns: np.column_stack([np.asarray(batch.column(c).cast(pa.float64())) for c in columns])
+            c, w = counts(classes), counts(words)
+            empty = c.sum(1) == 0
+            if names:
+                d = np.round(divergence(_shares(c), by_class) + divergence(_shares(w), by_word), 6)
+                best = d.argmin(1)
+                profile = [("junk" if e else names[k]) for e, k in zip(empty, best, strict=True)]
+                least = pa.array(d[np.arange(len(d)), best], mask=empty)
+            else:
+                profile, least = ["junk"] * batch.num_rows, pa.nulls(batch.num_rows, pa.float64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(profile, pa.string()), least], [*kept, "profile", "divergence"])
+
+    return judge
 
 
 def quality(df: DataFrame, key: str, text: str, common: DataFrame, lang: str = "lang", word: str = "word", params: QualityParams = QualityParams()) -> DataFrame:
@@ -139,18 +170,17 @@ def quality(df: DataFrame, key: str, text: str, common: DataFrame, lang: str = "
     tongues = [f"f_{k}" for k in range(len(languages))]
     any_rule = F.col("few_words") | F.col("odd_word_length") | F.col("many_symbols") | F.col("open_lines") | F.col("few_common")
     unknown = F.greatest(F.col("words").cast("long") - F.col("common_words"), F.lit(0))
-    counts = stats.withColumn("c", F.array(*[F.col(c).cast("double") for c in classes])).withColumn("w", F.array(*[F.col(c).cast("double") for c in tongues], unknown.cast("double")))
-    summed = lambda c: F.aggregate(c, F.lit(0.0), lambda total, x: total + x)
-    shares = counts.withColumn("c_total", summed("c")).withColumn("w_total", summed("w"))
-    shares = shares.withColumn("c", F.transform("c", lambda x: x / F.greatest("c_total", F.lit(1.0)))).withColumn("w", F.transform("w", lambda x: x / F.greatest("w_total", F.lit(1.0))))
-    mean = lambda c, n: F.array(*[F.round(F.avg(F.get(c, F.lit(k))), 9) for k in range(n)]).alias(c)
-    built = shares.filter("c_total > 0").groupBy(_kind(languages).alias("kind")).agg(mean("c", len(classes)), mean("w", len(tongues) + 1))
+    stats = stats.withColumn("not_prose", any_rule).withColumn("f_none", unknown).withColumn("kind", _kind(languages))
+    # the texts are read once; what is written is a row of numbers per text
+    stats = materialise(stats.drop("raw"), "quality")
+    words = [*tongues, "f_none"]
+    known = F.greatest(sum((F.col(c) for c in words), F.lit(0)), F.lit(1))
+    means = [F.round(F.avg(F.col(c) / F.col("chars")), 9).alias(c) for c in classes] + [F.round(F.avg(F.col(c) / known), 9).alias(c) for c in words]
     # one row per language and three more
-    profiles = [F.struct(F.lit(r.kind).alias("kind"), F.lit(list(r.c)).alias("c"), F.lit(list(r.w)).alias("w")) for r in built.orderBy("kind").collect()]
-    measured = lambda r: F.struct(F.round(_divergence(F.col("c"), r["c"]) + _divergence(F.col("w"), r["w"]), 6).alias("divergence"), r["kind"].alias("profile"))
-    nearest = F.array_min(F.transform(F.array(*profiles), measured)) if profiles else F.lit(None).cast("struct<divergence:double,profile:string>")
-    out = shares.withColumn("not_prose", any_rule).withColumn("near", F.when(F.col("c_total") > 0, nearest))
-    return out.select(
-        "doc_id", "words", "mean_word_length", "symbol_share", "lines", "line_end_share", "common_share", "few_words", "odd_word_length", "many_symbols", "open_lines", "few_common", "not_prose",
-        F.coalesce("near.profile", F.lit("junk")).alias("profile"), F.col("near.divergence").alias("divergence"),
-    )
+    built = stats.filter("chars > 0").groupBy("kind").agg(*means).orderBy("kind").collect()
+    kept = ["doc_id", "words", "mean_word_length", "symbol_share", "lines", "line_end_share", "common_share", "few_words", "odd_word_length", "many_symbols", "open_lines", "few_common", "not_prose"]
+    kinds = dict(stats.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", profile string, divergence double"
+    rows = lambda columns: np.array([[r[c] for c in columns] for r in built]).reshape(len(built), len(columns))
+    judge = _judge([r.kind for r in built], rows(classes), rows(words), classes, words, kept)
+    return stats.select(*kept, *classes, *words).mapInArrow(judge, schema)
