@@ -6,6 +6,8 @@ A rotation is an array of 9 numbers, row by row; a translation or point is an ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,18 +119,22 @@ def similarity(s: Column, r: Column, t: Column) -> Column:
     return F.struct(s.alias("s"), r.alias("r"), t.alias("t"))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` evaluated once, so that nested transforms do not multiply the expression."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def apply_similarity(m: Column, x: Column) -> Column:
-    return add(times(rotate(m["r"], x), m["s"]), m["t"])
+    return let(m, lambda a: let(x, lambda p: add(times(rotate(a["r"], p), a["s"]), a["t"])))
 
 
 def compose_similarity(a: Column, b: Column) -> Column:
     """First b, then a."""
-    return similarity(a["s"] * b["s"], multiply(a["r"], b["r"]), apply_similarity(a, b["t"]))
+    return let(a, lambda p: let(b, lambda q: similarity(p["s"] * q["s"], multiply(p["r"], q["r"]), add(times(rotate(p["r"], q["t"]), p["s"]), p["t"]))))
 
 
 def invert_similarity(m: Column) -> Column:
-    r, s = transpose(m["r"]), 1.0 / m["s"]
-    return similarity(s, r, times(rotate(r, m["t"]), -s))
+    return let(m, lambda a: similarity(1.0 / a["s"], transpose(a["r"]), times(rotate_back(a["r"], a["t"]), -1.0 / a["s"])))
 
 
 def move_pose(m: Column, r: Column, t: Column) -> tuple[Column, Column]:

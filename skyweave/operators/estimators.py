@@ -86,8 +86,8 @@ def similarity_fit(df: DataFrame, group: str, src: Sequence[str], dst: Sequence[
     columns = [*src, *dst]
     whole = df.filter(" and ".join(f"{c} is not null and not isnan({c})" for c in columns))
     means = whole.groupBy(group).agg(*[F.avg(c).alias(f"mu_{c}") for c in columns])
-    key = F.struct(group).alias("k")
-    near = lookup_join(whole.withColumn("k", F.struct(group)), means.select(key, *[f"mu_{c}" for c in columns]), "k", "inner").drop("k")
+    key = F.struct(group).alias("__at")
+    near = lookup_join(whole.select(group, *columns).withColumn("__at", F.struct(group)), means.select(key, *[f"mu_{c}" for c in columns]), "__at", "inner").drop("__at")
     a = {c: F.col(c) - F.col(f"mu_{c}") for c in columns}
     sums = near.groupBy(group).agg(
         F.count(F.lit(1)).cast("double").alias("n"),

@@ -40,9 +40,9 @@ def steps(df: DataFrame, group: str, order: list[Column], columns: list[str]) ->
     Rows meet their predecessor by place, in a shuffle over places rather than over groups.
     """
     placed = positions_in_group(df, group, order)
-    here = placed.select(F.struct(group, "pos").alias("k"), *[F.col(c) for c in df.columns])
-    before = placed.select(F.struct(group, (F.col("pos") + 1).alias("pos")).alias("k"), *[F.col(c).alias(f"prev_{c}") for c in columns])
-    return here.join(before, "k").drop("k")
+    here = placed.select(F.struct(group, "pos").alias("__at"), *[F.col(c) for c in df.columns])
+    before = placed.select(F.struct(group, (F.col("pos") + 1).alias("pos")).alias("__at"), *[F.col(c).alias(f"prev_{c}") for c in columns])
+    return here.join(before, "__at").drop("__at")
 
 
 def run_means(df: DataFrame, group: str, order: list[Column], value: str, width: int = 3) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from skyweave.plans import covisibility, evaluation, geometry, graph_edges, graphs, photos, sequences
+from skyweave.plans import covisibility, evaluation, flows, geometry, graph_edges, graphs, photos, sequences
 
-_BOOKS = (covisibility.book, graph_edges.book, evaluation.book, graphs.book, photos.book, sequences.book, geometry.book)
+_BOOKS = (covisibility.book, graph_edges.book, evaluation.book, graphs.book, photos.book, sequences.book, geometry.book, flows.book)
 
 
 def queries() -> dict[str, Callable]:
