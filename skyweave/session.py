@@ -7,6 +7,8 @@ recomputation of earlier rounds.
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 import uuid
 
@@ -51,3 +53,17 @@ def forget(df: DataFrame) -> None:
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions of a shuffle in this session: the yardstick for buckets, strips and islands."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that tasks can import it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-ship-')}/{root.name}", "zip", root.parent, root.name)
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
