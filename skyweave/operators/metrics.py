@@ -6,10 +6,12 @@ distinct scores only. Global orders are range-partitioned (see :mod:`skyweave.op
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.operators.ordering import running_totals
+from skyweave.operators.keyed import lookup_join
+from skyweave.operators.ordering import grouped_quantile, running_totals
+from skyweave.session import materialise
 
 
 def average_ranks(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
@@ -67,18 +69,21 @@ def binary_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
 def row_metrics(df: DataFrame, group: str, item: str, score: str, label: str) -> DataFrame:
     """``group, positives, n, ap, r_precision``: per row of a score matrix, ties by smaller item.
 
-    Rows of which none or all are positive are left out.
+    Rows of which none or all are positive are left out. Ranks and hits are running totals over the global order less those
+    before the group, so a row with a third of all entries is ranked by many tasks.
     """
-    w = Window.partitionBy(group).orderBy(F.col(score).desc(), F.col(item))
-    y = F.col(label).cast("int")
-    sized = df.groupBy(group).agg(F.sum(y).alias("positives"), F.count(F.lit(1)).alias("n")).filter("positives > 0 and positives < n")
-    ranked = df.withColumn("__k", F.row_number().over(w)).withColumn("__tp", F.sum(y).over(w.rowsBetween(Window.unboundedPreceding, 0))).join(sized, group)
-    return ranked.groupBy(group).agg(
+    rows = df.select(F.col(group).alias("g"), F.col(item).alias("item"), F.col(score).alias("score"), F.col(label).cast("int").alias("y"))
+    run = running_totals(rows, [F.col("g").asc_nulls_first(), F.col("score").desc(), F.col("item")], {"k": F.lit(1).cast("long"), "tp": F.col("y").cast("long")})
+    run = materialise(run, "row-metrics")
+    sized = run.groupBy("g").agg(F.sum("y").alias("positives"), F.count(F.lit(1)).alias("n"), (F.min("k") - 1).alias("k0"), F.min(F.col("tp") - F.col("y")).alias("t0")).filter("positives > 0 and positives < n")
+    ranked = lookup_join(run.withColumn("at", F.struct("g")), sized.select(F.struct("g").alias("at"), "positives", "n", "k0", "t0"), "at", "inner").withColumn("place", F.col("k") - F.col("k0"))
+    found = ranked.groupBy("g").agg(
         F.max("positives").alias("positives"),
         F.max("n").alias("n"),
-        F.avg(F.when(y == 1, F.col("__tp") / F.col("__k"))).alias("ap"),
-        (F.sum(F.when((F.col("__k") <= F.col("positives")), y).otherwise(0)) / F.max("positives")).alias("r_precision"),
+        F.avg(F.when(F.col("y") == 1, (F.col("tp") - F.col("t0")) / F.col("place"))).alias("ap"),
+        (F.sum(F.when(F.col("place") <= F.col("positives"), F.col("y")).otherwise(0)) / F.max("positives")).alias("r_precision"),
     )
+    return found.withColumnRenamed("g", group)
 
 
 def cdf_area(df: DataFrame, error: str, top: float, points: int = 1000) -> DataFrame:
@@ -92,9 +97,9 @@ def cdf_area(df: DataFrame, error: str, top: float, points: int = 1000) -> DataF
     return df.agg(F.count(error).alias("n"), (F.sum(reached) / F.count(error) / F.lit(points)).alias("auc"))
 
 
-def spread_stats(value: Column) -> list[Column]:
-    """n, mean, median, population deviation and variance, 90th percentile."""
-    return [
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"),
-        F.stddev_pop(value).alias("std"), F.var_pop(value).alias("var"), F.percentile(value, F.lit(0.9)).alias("p90"),
-    ]
+def spread_stats(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``group, n, mean, median, std, var, p90`` (population deviation and variance), however large a group is."""
+    v = F.col(value)
+    sums = df.groupBy(group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.var_pop(v).alias("var"))
+    both = grouped_quantile(df, group, value, 0.5, "median").join(grouped_quantile(df, group, value, 0.9, "p90"), group)
+    return sums.join(both, group, "left").select(group, "n", "mean", "median", "std", "var", "p90")

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from skyweave.functions.pose import angle_between_deg, rotation_of_quaternion
 from skyweave.operators.covis import shared_counts
 from skyweave.operators.metrics import average_ranks, binary_metrics, cdf_area, pr_curve, row_metrics, spearman, spread_stats
-from skyweave.operators.ordering import six
+from skyweave.operators.keyed import lookup_join
+from skyweave.operators.ordering import grouped_quantile, six
 from skyweave.operators.pairs import accumulate
 from skyweave.plans.tables import MEASURED, POSED, PREDICTED, SHARED, VIEWS, Book, measurements, observations, posed, predicted_pairs, predictions, views
+from skyweave.session import materialise
 
 book = Book()
 
@@ -124,7 +126,7 @@ def error_by_level(spark: SparkSession, sf: str) -> DataFrame:
     "floor(var_pop(cam_conf) * 1e6 + 0.5) / 1e6 AS var, floor(quantile_cont(cam_conf, 0.9) * 1e6 + 0.5) / 1e6 AS p90 FROM vw GROUP BY 1"
 )
 def group_stats(spark: SparkSession, sf: str) -> DataFrame:
-    s = views(spark, sf).groupBy("kind").agg(*spread_stats(F.col("cam_conf")))
+    s = spread_stats(views(spark, sf).filter("kind is not null").select("kind", "cam_conf"), "kind", "cam_conf")
     return s.select("kind", "n", *[six(F.col(c)).alias(c) for c in ("mean", "median", "std", "var", "p90")])
 
 
@@ -132,8 +134,10 @@ def group_stats(spark: SparkSession, sf: str) -> DataFrame:
 def mad_by_group(spark: SparkSession, sf: str) -> DataFrame:
     """Median and median absolute deviation of the views' confidence by kind."""
     v = views(spark, sf).filter("kind is not null").select("kind", "cam_conf")
-    m = v.groupBy("kind").agg(F.median("cam_conf").alias("med"))
-    return v.join(m, "kind").groupBy("kind").agg(six(F.max("med")).alias("median"), six(F.median(F.abs(F.col("cam_conf") - F.col("med")))).alias("mad"))
+    m = materialise(grouped_quantile(v, "kind", "cam_conf", 0.5, "med"), "mad")
+    off = lookup_join(v, m, "kind", "inner").withColumn("off", F.abs(F.col("cam_conf") - F.col("med")))
+    mad = grouped_quantile(off, "kind", "off", 0.5, "mad")
+    return m.join(mad, "kind").select("kind", six(F.col("med")).alias("median"), six(F.col("mad")).alias("mad"))
 
 
 @book.query(f"WITH {MEASURED} SELECT batch_id, count(*) AS n, floor(quantile_cont(overlap, 0.1) * 1e6 + 0.5) / 1e6 AS p10, floor(quantile_cont(overlap, 0.5) * 1e6 + 0.5) / 1e6 AS p50, floor(quantile_cont(overlap, 0.9) * 1e6 + 0.5) / 1e6 AS p90 FROM me GROUP BY 1")

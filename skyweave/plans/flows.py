@@ -2,31 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.operators.ordering import six
 from skyweave.plans.tables import POSED, Book, posed, table
-from skyweave.session import shared_dir
+from skyweave.session import scratch_path
 from skyweave.sources.colmap import read_images, write_images
 from skyweave.streaming.accumulators import accumulate_pairs, accumulate_windows, accumulated_pairs, accumulated_windows, file_stream, latest_of, upsert_latest
 
 book = Book()
 
 
-def _folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/skyweave/{label}-{uuid.uuid4().hex}"
-
-
 _SIX = ", ".join(f"floor({c} * 1e6 + 0.5) / 1e6 AS {c}" for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz"))
 
 
 @book.query(f"WITH {POSED} SELECT image_id, {_SIX}, camera_id, name FROM ps WHERE camera_id IS NOT NULL AND name IS NOT NULL")
 def images_text_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Posed images written as a text model and read again."""
-    path = _folder(spark, "images-txt")
+    path = scratch_path(spark, "images-txt")
     write_images(posed(spark, sf).filter("image_id is not null and camera_id is not null and name is not null"), path)
     return read_images(spark, path).select("image_id", *[six(F.col(c)).alias(c) for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")], "camera_id", "name")
 
@@ -34,7 +28,7 @@ def images_text_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 @book.query("SELECT least(image_i, image_j) AS i, greatest(image_i, image_j) AS j, count(*) AS n, floor(sum(CAST(overlap AS DOUBLE)) * 1e4 + 0.5) / 1e4 AS total FROM batch_pairs WHERE image_i <> image_j AND overlap IS NOT NULL AND NOT isnan(overlap) GROUP BY 1, 2")
 def stream_pair_sums(spark: SparkSession, sf: str) -> DataFrame:
     """All delivered measurements as a stream into pair accumulators."""
-    out = _folder(spark, "stream-pairs")
+    out = scratch_path(spark, "stream-pairs")
     accumulate_pairs(file_stream(spark, f"{sf}/batch_pairs.parquet"), "image_i", "image_j", "overlap", out, out + "-state").awaitTermination()
     return accumulated_pairs(spark, out).select("i", "j", "n", (F.floor(F.col("total") * 1e4 + 0.5) / 1e4).alias("total"))
 
@@ -45,7 +39,7 @@ def stream_pair_sums(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Events in windows of two days that slide by one, streamed."""
-    out = _folder(spark, "stream-windows")
+    out = scratch_path(spark, "stream-windows")
     events = file_stream(spark, f"{sf}/events.parquet")
     accumulate_windows(events, "ts", "2 days", "1 day", "event_type", "value", out, out + "-state").awaitTermination()
     w = accumulated_windows(spark, out)
@@ -58,7 +52,7 @@ def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_upserts(spark: SparkSession, sf: str) -> DataFrame:
     """Entries written again, streamed: the latest wins."""
-    out = _folder(spark, "stream-upserts")
+    out = scratch_path(spark, "stream-upserts")
     rows = file_stream(spark, f"{sf}/camera_connections.parquet").filter("image_id != other_id and abs(coalesce(score, 0)) < 1e30")
     upsert_latest(rows, ["image_id", "other_id"], "updated_at", ["score"], out, out + "-state").awaitTermination()
     newest = latest_of(spark, out, ["image_id", "other_id"], "updated_at", ["score"])

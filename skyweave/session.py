@@ -30,10 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; all paths of an application lie in one folder, to be removed when it has ended."""
+    return f"{shared_dir(spark)}/skyweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once into the shared folder and return a reader of the written rows."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skyweave/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._skyweave_path = path
