@@ -155,28 +155,46 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     schema = "doc_id long, item_id long, windows long, best_sim double, exact_windows long"
 
     def finder(sent):
+        def compare(index: _Index, held: list[tuple[int, list[str]]], seen: dict[tuple[int, int], list]) -> None:
+            """All windows of some pieces of texts at once; windows that would span two pieces are left out."""
+            words = [w for _, piece in held for w in piece]
+            prints = fingerprints(words, p)
+            ends = np.cumsum([len(piece) for _, piece in held])
+            own = np.repeat(np.arange(len(held)), [len(piece) for _, piece in held])[: len(prints)]
+            whole = np.flatnonzero(np.arange(len(prints)) + p.window <= ends[own])
+            mine, theirs = index.candidates(prints[whole])
+            for at, other in zip(whole[mine].tolist(), theirs.tolist(), strict=True):
+                number, place = int(index.of[other]), int(index.at[other])
+                a, b = words[at : at + p.window], index.items[number][1][place : place + p.window]
+                same = a == b
+                sim = 1.0 if same else similarity(a, b, p.shingle)
+                if sim >= p.min_sim:
+                    s = seen.setdefault((held[own[at]][0], number), [0, 0.0, 0])
+                    s[0] += 1
+                    s[1] = max(s[1], sim)
+                    s[2] += same
+
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = _Index(sent.value, p)
             for batch in batches:
-                found: list[tuple] = []
-                for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    words = words_of(t)
-                    seen: dict[int, list] = {}
+                docs = batch.column(0).to_pylist()
+                seen: dict[tuple[int, int], list] = {}
+                held: list[tuple[int, list[str]]] = []
+                size = 0
+                for row, t in enumerate(batch.column(1)):
+                    words = words_of(t.as_py())
                     for start in range(0, max(0, len(words) - p.window + 1), p.chunk_words):
-                        part = words[start : start + p.chunk_words + p.window - 1]
-                        for i, j in zip(*(x.tolist() for x in index.candidates(fingerprints(part, p))), strict=True):
-                            number, at = int(index.of[j]), int(index.at[j])
-                            a, b = part[i : i + p.window], index.items[number][1][at : at + p.window]
-                            same = a == b
-                            sim = 1.0 if same else similarity(a, b, p.shingle)
-                            if sim >= p.min_sim:
-                                s = seen.setdefault(number, [0, 0.0, 0])
-                                s[0] += 1
-                                s[1] = max(s[1], sim)
-                                s[2] += same
-                    found += [(doc, index.items[k][0], *s) for k, s in sorted(seen.items())]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "item_id", "windows", "best_sim", "exact_windows"])
+                        held.append((row, words[start : start + p.chunk_words + p.window - 1]))
+                        size += len(held[-1][1])
+                        if size >= p.chunk_words:
+                            compare(index, held, seen)
+                            held, size = [], 0
+                if held:
+                    compare(index, held, seen)
+                if seen:
+                    found = [(docs[row], index.items[k][0], *s) for (row, k), s in sorted(seen.items())]
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)], ["doc_id", "item_id", "windows", "best_sim", "exact_windows"])
 
         return find
 
