@@ -74,6 +74,37 @@ def hops(edges: DataFrame, sources: DataFrame, a: str = "i", b: str = "j", max_h
     return seen
 
 
+def balls(edges: DataFrame, sources: DataFrame, size: int, a: str = "i", b: str = "j") -> DataFrame:
+    """``source, node, layer, place``: the first ``size`` nodes around every source, layer by layer, the source included (place 0).
+
+    Of a layer the nodes with more links into the ball so far come first, equal ones by smaller id. All balls grow together; a
+    ball holds at most ``size`` rows, and a layer is cut to ``size`` rows per ball in every map partition before it is ranked.
+    """
+    if size < 1:
+        raise ValueError("size must be at least 1")
+    e = materialise(both_ways(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b).distinct(), "balls-edges")
+    start = sources.select(F.col("node").cast("long").alias("node")).filter("node is not null").distinct()
+    seen = materialise(start.select(F.col("node").alias("source"), "node", F.lit(0).alias("layer"), F.lit(0).alias("place")), "balls")
+    for layer in range(1, size):
+        front = seen.filter(F.col("layer") == layer - 1).select("source", F.col("node").alias("src"))
+        reached = front.join(e, "src").select("source", F.col("dst").alias("node")).distinct()
+        fresh = reached.join(seen.select("source", "node"), ["source", "node"], "left_anti")
+        # links are counted from the ball's side, which is small: every member's neighbours that are new
+        links = seen.select("source", F.col("node").alias("src")).join(e, "src").groupBy("source", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("links"))
+        held = seen.groupBy("source").agg(F.count(F.lit(1)).cast("int").alias("held")).filter(F.col("held") < size)
+        w = Window.partitionBy("source").orderBy(F.desc("links"), "node")
+        ranked = fresh.join(links, ["source", "node"]).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= size)
+        ranked = ranked.join(held, "source").filter(F.col("r") <= size - F.col("held"))
+        added = materialise(ranked.select("source", "node", F.lit(layer).alias("layer"), (F.col("held") + F.col("r") - 1).alias("place")), "balls-layer")
+        if added.isEmpty():
+            break
+        after = materialise(seen.unionByName(added), "balls")
+        forget(seen)
+        forget(added)
+        seen = after
+    return seen
+
+
 def max_product_paths(edges: DataFrame, sources: DataFrame, weight: str, a: str = "i", b: str = "j", min_weight: float = 0.2, max_rounds: int = 1000) -> DataFrame:
     """``node, weight, source, parent, hops``: the strongest path from any source, as a product of edge weights in (0, 1].
 

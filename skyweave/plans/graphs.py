@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyweave.operators.budget import track_budget
 from skyweave.operators.covis import normalise, points_per_image, shared_counts
-from skyweave.operators.graph import build_tracks, component_sizes, components, hops, max_product_paths, spanning_forest, walk_back
+from skyweave.operators.graph import balls, build_tracks, component_sizes, components, hops, max_product_paths, spanning_forest, walk_back
 from skyweave.operators.ordering import six
 from skyweave.operators.pairs import accumulate
 from skyweave.plans.tables import MEASURED, SHARED, Book, measurements, observations, table
@@ -88,3 +89,17 @@ def tracks_from_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Tracks from verified matches with a score of at least 0.5; tracks with two features of an image are dropped."""
     m = table(spark, sf, "feature_matches").filter("verified and score >= 0.5 and not isnan(score)")
     return build_tracks(m, "obs_img_a", "obs_feat_a", "obs_img_b", "obs_feat_b")
+
+
+@book.query()
+def image_balls(spark: SparkSession, sf: str) -> DataFrame:
+    """The 24 images around every image of the overlap graph."""
+    edges = overlap_edges(spark, sf)
+    nodes = edges.select(F.col("i").alias("node")).unionByName(edges.select(F.col("j").alias("node")))
+    return balls(edges, nodes, 24)
+
+
+@book.query()
+def budgeted_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """The observations of the tracks that are kept when every image needs 100 of them."""
+    return track_budget(observations(spark, sf), "point_id", "image_id", 100)
