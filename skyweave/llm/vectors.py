@@ -26,18 +26,23 @@ from skyweave.session import materialise
 
 @dataclass(frozen=True)
 class IndexParams:
-    """``cells`` None: one cell for about ``cell_rows`` rows, between 8 and ``max_cells``."""
+    """``cells`` None: one cell for about ``cell_rows`` rows, between 8 and ``max_cells``.
+
+    The sample that codebooks are trained on has ``train_rows`` rows, or ``cell_train_rows`` per cell if that is more: at most
+    ``max_cells * cell_train_rows``.
+    """
 
     dim: int
     cells: int | None = None
     cell_rows: int = 300
-    max_cells: int = 2048
+    max_cells: int = 16_384
     books: int = 6
     words: int = 64
     beam: int = 4
     probes: int = 16
     rerank: int = 64
     train_rows: int = 32_768
+    cell_train_rows: int = 8
     train_rounds: int = 8
     block_rows: int = 4096
     seed: int = 7
@@ -48,11 +53,17 @@ def _nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (words**2).sum(1)[None, :] - 2.0 * (x @ words.T)
 
 
+def _slices(rows: int, words: int, most: int) -> Iterator[slice]:
+    """Slices of at most ``most`` rows whose distances to all words take at most 64 MB."""
+    step = max(64, min(most, (1 << 24) // max(words, 1)))
+    return (slice(i, i + step) for i in range(0, rows, step))
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     k = min(k, len(x))
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        owner = np.concatenate([_nearest(x[i : i + 8192], centres).argmin(1) for i in range(0, len(x), 8192)])
+        owner = np.concatenate([_nearest(x[i], centres).argmin(1) for i in _slices(len(x), k, 8192)])
         total = np.zeros_like(centres)
         np.add.at(total, owner, x)
         size = np.bincount(owner, minlength=k)
@@ -70,26 +81,32 @@ class Codebooks:
     coarse: np.ndarray
     books: list[np.ndarray]
 
-    def encode(self, x: np.ndarray, beam: int) -> np.ndarray:
-        """Codes by beam search: after each codebook the ``beam`` best partial sums of a vector go on."""
-        n = len(x)
+    def start(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``beam`` nearest first words of every vector, and what they leave over."""
         d = _nearest(x, self.coarse)
         width = min(beam, len(self.coarse))
-        first = np.argpartition(d, width - 1, axis=1)[:, :width] if width < d.shape[1] else np.tile(np.arange(d.shape[1]), (n, 1))
-        codes = first[:, :, None].astype(np.int32)
-        residual = x[:, None, :] - self.coarse[first]
+        first = np.argpartition(d, width - 1, axis=1)[:, :width] if width < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(x), 1))
+        return first[:, :, None].astype(np.int32), x[:, None, :] - self.coarse[first]
+
+    @staticmethod
+    def extend(codes: np.ndarray, residual: np.ndarray, book: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``beam`` best partial sums of every vector with one more word."""
+        n = len(codes)
+        norm = (residual**2).sum(2)
+        cost = norm[:, :, None] + ((book**2).sum(1)[None, None, :] - 2.0 * np.einsum("nbd,kd->nbk", residual, book, optimize=True))
+        flat = cost.reshape(n, -1)
+        keep = min(beam, flat.shape[1])
+        best = np.argpartition(flat, keep - 1, axis=1)[:, :keep] if keep < flat.shape[1] else np.tile(np.arange(flat.shape[1]), (n, 1))
+        parent, word = best // len(book), best % len(book)
+        row = np.arange(n)[:, None]
+        return np.concatenate([codes[row, parent], word[:, :, None].astype(np.int32)], axis=2), residual[row, parent] - book[word]
+
+    def encode(self, x: np.ndarray, beam: int) -> np.ndarray:
+        """Codes by beam search: after each codebook the ``beam`` best partial sums of a vector go on."""
+        codes, residual = self.start(x, beam)
         for book in self.books:
-            norm = (residual**2).sum(2)
-            cost = norm[:, :, None] + ((book**2).sum(1)[None, None, :] - 2.0 * np.einsum("nbd,kd->nbk", residual, book, optimize=True))
-            flat = cost.reshape(n, -1)
-            keep = min(beam, flat.shape[1])
-            best = np.argpartition(flat, keep - 1, axis=1)[:, :keep] if keep < flat.shape[1] else np.tile(np.arange(flat.shape[1]), (n, 1))
-            parent, word = best // len(book), best % len(book)
-            row = np.arange(n)[:, None]
-            residual = residual[row, parent] - book[word]
-            codes = np.concatenate([codes[row, parent], word[:, :, None].astype(np.int32)], axis=2)
-        winner = (residual**2).sum(2).argmin(1)
-        return codes[np.arange(n), winner]
+            codes, residual = self.extend(codes, residual, book, beam)
+        return codes[np.arange(len(x)), (residual**2).sum(2).argmin(1)]
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         out = self.coarse[codes[:, 0]].copy()
@@ -103,11 +120,15 @@ def train(sample: np.ndarray, cells: int, p: IndexParams) -> Codebooks:
     rng = np.random.default_rng(p.seed)
     x = sample.astype(np.float32)
     coarse = _kmeans(x, cells, p.train_rounds, rng)
+    made = Codebooks(coarse, [])
+    # the beams of the sample are carried from codebook to codebook
+    beams = [made.start(x[i], p.beam) for i in _slices(len(x), len(coarse), 4096)]
     books: list[np.ndarray] = []
     for _ in range(p.books):
-        made = Codebooks(coarse, books)
-        left = np.concatenate([x[i : i + 4096] - made.decode(made.encode(x[i : i + 4096], p.beam)) for i in range(0, len(x), 4096)])
+        left = np.concatenate([r[np.arange(len(r)), (r**2).sum(2).argmin(1)] for _, r in beams])
         books = [*books, _kmeans(left, p.words, p.train_rounds, rng)]
+        if len(books) < p.books:
+            beams = [made.extend(codes, residual, books[-1], p.beam) for codes, residual in beams]
     return Codebooks(coarse, books)
 
 
@@ -153,9 +174,10 @@ def valid_vectors(df: DataFrame, key: str, vector: str, dim: int, at: str | None
 
 def _fit(vectors: DataFrame, rows: int, p: IndexParams) -> Codebooks:
     cells = p.cells or int(min(p.max_cells, max(8, rows // p.cell_rows)))
-    share = min(1.0, p.train_rows / max(rows, 1))
+    most = max(p.train_rows, p.cell_train_rows * cells)
+    share = min(1.0, most / max(rows, 1))
     sampled = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) <= F.lit(int(share * 1_000_003))) if share < 1 else vectors
-    taken = sampled.orderBy(F.xxhash64("id")).limit(p.train_rows).select("vec").toArrow()
+    taken = sampled.orderBy(F.xxhash64("id")).limit(most).select("vec").toArrow()
     x = _unit(_matrix(taken.column("vec").combine_chunks(), p.dim))
     return train(x, cells, p)
 
@@ -221,8 +243,8 @@ def most_similar(df: DataFrame, key: str, vector: str, k: int, params: IndexPara
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Codebooks(*model.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for i in _slices(batch.num_rows, len(c.coarse), 1024):
+                part = batch.slice(i.start, i.stop - i.start)
                 x = _unit(_matrix(part.column(1), params.dim)).astype(np.float32)
                 codes = c.encode(x, params.beam)
                 norm = np.sqrt((c.decode(codes) ** 2).sum(1)).clip(1e-6)
@@ -234,8 +256,8 @@ def most_similar(df: DataFrame, key: str, vector: str, k: int, params: IndexPara
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = model.value[0]
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for i in _slices(batch.num_rows, len(words), 1024):
+                part = batch.slice(i.start, i.stop - i.start)
                 d = _nearest(_unit(_matrix(part.column(1), params.dim)).astype(np.float32), words)
                 near = np.argpartition(d, probes - 1, axis=1)[:, :probes] if probes < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(d), 1))
                 rep = pa.array(np.repeat(np.arange(len(d)), near.shape[1]))
