@@ -86,9 +86,14 @@ _ENU = (
 
 
 def enu_places(spark: SparkSession, sf: str) -> DataFrame:
-    """``name, seq, e, n, u``: metres from the mean position of the sequence at height 0; sequences at the date line are left out."""
-    p = places(spark, sf).filter("abs(lon) < 179")
-    origin = p.groupBy("seq").agg(F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0"))
+    """``name, seq, e, n, u``: metres from the mean position of the sequence at height 0.
+
+    Longitudes are averaged within 180 degrees of that of the sequence's smallest name, so the date line does not matter.
+    """
+    p = places(spark, sf)
+    first = p.groupBy("seq").agg(F.min_by("lon", "name").alias("lon1"))
+    near = p.join(first, "seq").withColumn("near", F.col("lon") + 360 * F.round((F.col("lon1") - F.col("lon")) / 360))
+    origin = near.groupBy("seq").agg(F.avg("lat").alias("lat0"), F.avg("near").alias("lon0"))
     e, n, u = enu(F.col("lat"), F.col("lon"), F.lit(0.0), F.col("lat0"), F.col("lon0"), F.lit(0.0))
     return p.join(origin, "seq").select("name", "seq", e.alias("e"), n.alias("n"), u.alias("u"))
 
