@@ -51,12 +51,13 @@ def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
     "FROM camera_connections WHERE image_id <> other_id AND abs(coalesce(score, 0)) < 1e30) WHERE k = 1"
 )
 def stream_upserts(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries written again, streamed: the latest wins."""
+    """Entries written again, streamed: the latest wins; if its score is not finite, the score is missing."""
     out = scratch_path(spark, "stream-upserts")
-    rows = file_stream(spark, f"{sf}/camera_connections.parquet").filter("image_id != other_id and abs(coalesce(score, 0)) < 1e30")
+    rows = file_stream(spark, f"{sf}/camera_connections.parquet").filter("image_id != other_id")
     upsert_latest(rows, ["image_id", "other_id"], "updated_at", ["score"], out, out + "-state").awaitTermination()
     newest = latest_of(spark, out, ["image_id", "other_id"], "updated_at", ["score"])
-    return newest.select("image_id", "other_id", F.when(~F.isnan("score"), six(F.col("score").cast("double"))).alias("score"))
+    score, size = F.col("score").cast("double"), F.abs("score")
+    return newest.select("image_id", "other_id", F.when(size < 1e9, six(score)).when(~F.isnan("score") & (size != float("inf")), score).alias("score"))  # a float of 1e9 has no decimals
 
 
 @book.query("SELECT user_id, count(*) AS sessions, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS g FROM events)) GROUP BY 1, 2) GROUP BY 1")

@@ -5,7 +5,7 @@ import datetime
 import numpy as np
 import pytest
 
-from skyweave.plans import geometry
+from skyweave.plans import flows, geometry
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -18,3 +18,11 @@ def test_sequences_across_the_date_line_keep_all_photos(spark, tmp_path):
     expect = {"s_1.jpg": -step, "s_2.jpg": step, "s_3.jpg": 0.0, "s_4.jpg": 0.0, "t_1.jpg": -step, "t_2.jpg": step}
     assert set(got) == set(expect)
     assert all(got[n] == pytest.approx((e, 0.0), abs=2e-3) for n, e in expect.items())
+
+
+def test_upserts_let_the_latest_win_though_it_is_not_finite(spark, tmp_path):
+    late = DAY + datetime.timedelta(hours=1)
+    rows = [(1, 2, 0.5, DAY), (1, 2, float("nan"), late), (1, 3, float("inf"), DAY), (1, 4, 0.25, DAY), (1, 4, float("-inf"), late), (2, 1, float("nan"), DAY), (2, 1, 0.75, late), (2, 3, None, DAY), (2, 4, 2.0**101, DAY), (3, 3, 0.5, DAY)]
+    spark.createDataFrame(rows, "image_id int, other_id int, score float, updated_at timestamp_ntz").write.parquet(str(tmp_path / "camera_connections.parquet"))
+    got = {(r.image_id, r.other_id): r.score for r in flows.stream_upserts(spark, str(tmp_path)).collect()}
+    assert got == {(1, 2): None, (1, 3): None, (1, 4): None, (2, 1): 0.75, (2, 3): None, (2, 4): 2.0**101}
