@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.functions.pose import angle_between_deg, multiply, project, reprojection_error, rotate, rotate_back, transpose
+from skyweave.functions.pose import add, angle_between_deg, centre, direction_angle_deg, multiply, project, reprojection_error, rotate, rotate_back, transpose
 from skyweave.operators.estimators import ROTATION, _batched, nearest_rotation
 from skyweave.operators.keyed import lookup_join
 from skyweave.session import forget, materialise
@@ -26,6 +26,24 @@ def filter_tracks(errors: DataFrame, track: str, max_px: float, least: int = 2)
     return lookup_join(good, kept, track, "inner")
 
 
+def sound_points(obs: DataFrame, points: DataFrame, track: str, u: str, v: str, fx: float, fy: float, cx: float, cy: float, max_px: float, least_deg: float = 1.0, rotation: str = "r", translation: str = "t") -> DataFrame:
+    """``points`` of tracks that lie ahead of all their cameras, with no error above ``max_px`` and two rays at least ``least_deg`` apart.
+
+    All rays are compared with one of their track; only if the widest of these angles is between half of ``least_deg`` and
+    ``least_deg``, which leaves the widest of all open, are the track's rays compared with each other.
+    """
+    errors = residuals(obs, points, track, u, v, fx, fy, cx, cy, rotation, translation)
+    worst = errors.groupBy(track).agg(F.max("error").alias("__e")).filter((F.col("__e") <= max_px) & (F.col("__e") < float("inf")))
+    placed = materialise(points.join(worst.select(track), track, "left_semi"), "placed")
+    met = lookup_join(obs.select(track, F.col(rotation).alias("__r"), F.col(translation).alias("__t")), placed.select(track, F.array("x", "y", "z").alias("__x")), track, "inner")
+    rays = materialise(met.select(track, add(F.col("__x"), centre(F.col("__r"), F.col("__t")), -1).alias("__ray")), "rays")
+    widest = lambda pairs: pairs.groupBy(track).agg(F.max(direction_angle_deg(F.col("__ray"), F.col("__other"))).alias("__a"))
+    to_one = materialise(widest(lookup_join(rays, rays.groupBy(track).agg(F.max("__ray").alias("__other")), track, "inner")), "ray-angles")
+    unsure = rays.join(to_one.filter((F.col("__a") < least_deg) & (F.col("__a") > 0.499 * least_deg)), track, "left_semi")
+    found = widest(unsure.join(unsure.withColumnRenamed("__ray", "__other"), track))
+    return placed.join(to_one.unionByName(found).filter(F.col("__a") >= least_deg).select(track), track, "left_semi")
+
+
 def average_rotations(edges: DataFrame, start: DataFrame, rounds: int = 10, softness_deg: float = 3.0) -> DataFrame:
     """``node, r``: rotations that agree best with relative ones.
 

@@ -11,12 +11,14 @@ from skyweave.functions.vec import distance
 from skyweave.operators.cloud import median_cells, mutual_matches, voxel_counts, voxel_representative, voxel_size_for
 from skyweave.operators.estimators import SIMILARITY, mean_rotation, robust_similarity_fit, triangulate
 from skyweave.operators.keyed import latest
+from skyweave.operators.matching import sound_points
 from skyweave.operators.ordering import six
 from skyweave.operators.spatial import nearest_points
 from skyweave.plans.covisibility import newest_observations
 from skyweave.plans.photos import photo_positions
 from skyweave.plans.sequences import _PLACES, places
 from skyweave.plans.tables import MEASURED, POSED, Book, measurements, posed, table
+from skyweave.session import materialise
 
 book = Book()
 
@@ -168,12 +170,24 @@ def sequence_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return robust_similarity_fit(both, "seq", ["e", "n", "u"], ["c0", "c1", "c2"]).select("seq", "n", *SIMILARITY)
 
 
+def posed_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest observations of tracks, with ``r`` and ``t`` of their images."""
+    obs = newest_observations(spark, sf).filter("track_id is not null and x is not null and y is not null")
+    return materialise(obs.join(poses(spark, sf).select(F.col("image_id").alias("obs_img"), "r", "t"), "obs_img"), "posed-observations")
+
+
+def track_points(obs: DataFrame) -> DataFrame:
+    points = materialise(triangulate(obs, "track_id", (F.col("x") - 2000.0) / 3000.0, (F.col("y") - 1500.0) / 3000.0, "r", "t"), "points")
+    return sound_points(obs, points, "track_id", "x", "y", 3000.0, 3000.0, 2000.0, 1500.0, 64.0)
+
+
 @book.query()
 def triangulated_tracks(spark: SparkSession, sf: str) -> DataFrame:
-    """Points of the tracks with at least 2 posed views, for a focal length of 3,000 pixels and a centre of (2,000, 1,500)."""
-    obs = newest_observations(spark, sf).filter("track_id is not null and x is not null and y is not null")
-    p = poses(spark, sf).select(F.col("image_id").alias("obs_img"), "r", "t")
-    return triangulate(obs.join(p, "obs_img"), "track_id", (F.col("x") - 2000.0) / 3000.0, (F.col("y") - 1500.0) / 3000.0, "r", "t").filter("views >= 2")
+    """Points of the tracks with at least 2 posed views, for a focal length of 3,000 pixels and a centre of (2,000, 1,500).
+
+    A track counts if all its views are ahead and within 64 pixels, and two of its rays are at least 1 degree apart.
+    """
+    return track_points(posed_observations(spark, sf)).filter("views >= 2")
 
 
 _VOXEL = ", ".join(f"CAST(floor(c{a} / 25) AS BIGINT) AS v{a}" for a in "xyz")
@@ -198,8 +212,6 @@ def voxel_first(spark: SparkSession, sf: str) -> DataFrame:
 @book.query()
 def voxel_thinning(spark: SparkSession, sf: str) -> DataFrame:
     """One camera per voxel, with the voxel size bisected so that at most half as many voxels as cameras remain."""
-    from skyweave.session import materialise
-
     points = materialise(centre_points(spark, sf), "thinning")
     size = voxel_size_for(points, ["x", "y", "z"], max(1, points.count() // 2), 0.01, 10_000.0)
     return voxel_representative(points, "image_id", ["x", "y", "z"], size).select("image_id", "x", "y", "z", F.lit(size).alias("voxel"))

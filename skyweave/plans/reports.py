@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 
 from skyweave.functions.pose import rotation_of_gimbal
 from skyweave.operators.covis import shared_counts
-from skyweave.operators.estimators import fit_residuals, robust_similarity_fit, triangulate
+from skyweave.operators.estimators import fit_residuals, robust_similarity_fit
 from skyweave.operators.graph import component_sizes, components, hops
 from skyweave.operators.matching import average_rotations, filter_tracks, footprint_overlap, relative_from_absolute, residuals
 from skyweave.operators.metrics import row_metrics
 from skyweave.operators.ordering import grouped_quantile, six, with_index
 from skyweave.operators.pairs import accumulate, row_lift
 from skyweave.operators.spatial import near_pairs
-from skyweave.plans.covisibility import newest_observations
 from skyweave.plans.evaluation import JUDGED, judged_pairs
-from skyweave.plans.geometry import enu_places, gimbals, milli, poses
+from skyweave.plans.geometry import enu_places, gimbals, milli, posed_observations, poses, track_points
 from skyweave.plans.graph_edges import _LIFT
 from skyweave.plans.graphs import _REACH, _SEEN, anchors, overlap_edges, seen_edges
 from skyweave.plans.photos import photo_positions
@@ -109,11 +108,9 @@ def score_separation(spark: SparkSession, sf: str) -> DataFrame:
 
 @book.query()
 def reprojection_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Observations that lie within 64 pixels of their triangulated point, of tracks that keep two."""
-    p = poses(spark, sf).select(F.col("image_id").alias("obs_img"), "r", "t")
-    obs = materialise(newest_observations(spark, sf).filter("track_id is not null and x is not null and y is not null").join(p, "obs_img"), "reprojection")
-    points = triangulate(obs, "track_id", (F.col("x") - 2000.0) / 3000.0, (F.col("y") - 1500.0) / 3000.0, "r", "t")
-    errors = residuals(obs, points, "track_id", "x", "y", 3000.0, 3000.0, 2000.0, 1500.0)
+    """Observations that lie within 64 pixels of their triangulated point, of the tracks that :func:`track_points` keeps."""
+    obs = posed_observations(spark, sf)
+    errors = residuals(obs, track_points(obs), "track_id", "x", "y", 3000.0, 3000.0, 2000.0, 1500.0)
     return filter_tracks(errors, "track_id", 64.0).select("track_id", "obs_img", "obs_feat", six(F.col("error")).alias("error"))
 
 

@@ -5,7 +5,7 @@ import datetime
 import numpy as np
 import pytest
 
-from skyweave.plans import flows, geometry
+from skyweave.plans import flows, geometry, reports
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -26,3 +26,18 @@ def test_upserts_let_the_latest_win_though_it_is_not_finite(spark, tmp_path):
     spark.createDataFrame(rows, "image_id int, other_id int, score float, updated_at timestamp_ntz").write.parquet(str(tmp_path / "camera_connections.parquet"))
     got = {(r.image_id, r.other_id): r.score for r in flows.stream_upserts(spark, str(tmp_path)).collect()}
     assert got == {(1, 2): None, (1, 3): None, (1, 4): None, (2, 1): 0.75, (2, 3): None, (2, 4): 2.0**101}
+
+
+def test_tracks_behind_cameras_far_off_or_of_parallel_rays_are_dropped(spark, tmp_path):
+    xs = {1: 0.0, 2: 0.75, 3: -0.75, 4: 10.0}  # cameras that look along z; 0.75 at a depth of 100 is 0.43 degrees
+    xs |= {5: -0.01, 6: 0.0, 7: 0.0}
+    ys = dict.fromkeys(xs, 0.0) | {6: 0.6, 7: -0.6}  # of 5, 6 and 7 only the last two are 1 degree apart, and 5 has the greatest ray
+    spark.createDataFrame([(k, 1.0, 0.0, 0.0, 0.0, -x, -ys[k], 0.0, 1, f"s_{k}.jpg") for k, x in xs.items()], "image_id int, qw double, qx double, qy double, qz double, tx double, ty double, tz double, camera_id int, name string").write.parquet(str(tmp_path / "images.parquet"))
+    spark.read.parquet(str(tmp_path / "images.parquet")).limit(0).write.parquet(str(tmp_path / "anchor_images.parquet"))
+    at = {1: (0.0, 100.0, (1, 4)), 2: (0.0, -100.0, (1, 4)), 3: (0.0, 100.0, (1, 2)), 4: (0.0, 50.0, (1, 2, 3)), 5: (0.0, 100.0, (1, 2, 4)), 6: (0.0, 50.0, (1, 2)), 7: (0.0, 50.0, (5, 6, 7)), 8: (0.0, 50.0, (5, 6))}
+    rows = [(t, i, 10 * t + i, 3000.0 * (x - xs[i]) / z + 2000.0, 1500.0 - 3000.0 * ys[i] / z + (900.0 if (t, i) == (5, 2) else 0.0), 0.5, DAY) for t, (x, z, seen) in at.items() for i in seen]
+    spark.createDataFrame(rows, "track_id long, obs_img int, obs_feat int, x double, y double, conf double, logged_at timestamp_ntz").write.parquet(str(tmp_path / "track_obs.parquet"))
+    got = {r.track_id: (r.x, r.y, r.z) for r in geometry.triangulated_tracks(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 4, 7}  # 2 is behind, 3, 6 and 8 have narrow rays, 5 has a view that is far off
+    assert all(got[t] == pytest.approx((at[t][0], 0.0, at[t][1]), abs=1e-6) for t in got)
+    assert {(r.track_id, r.obs_img) for r in reports.reprojection_filter(spark, str(tmp_path)).collect()} == {(1, 1), (1, 4), (4, 1), (4, 2), (4, 3), (7, 5), (7, 6), (7, 7)}
