@@ -55,23 +55,26 @@ def component_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
-def hops(edges: DataFrame, sources: DataFrame, a: str = "i", b: str = "j", max_hops: int = 100) -> DataFrame:
-    """``node, hops``: steps from the nearest of ``sources`` (column ``node``); nodes out of reach are absent."""
+def hops(edges: DataFrame, sources: DataFrame, a: str = "i", b: str = "j", max_rounds: int = 10_000) -> DataFrame:
+    """``node, hops``: steps from the nearest of ``sources`` (column ``node``); nodes out of reach are absent.
+
+    Edges lead both ways, so a neighbour of a layer lies in it, in the one before or in the next.
+    """
     e = materialise(both_ways(edges, a, b).distinct(), "hops-edges")
     rows = e.count()
     front = materialise(sources.select(F.col("node").cast("long").alias("node")).filter("node is not null").distinct().withColumn("hops", F.lit(0)), "hops")
     layers = [front]
-    seen = front
-    for k in range(1, max_hops + 1):
+    for k in range(1, max_rounds + 1):
         reached = lookup_join(e, front.select(F.col("node").alias("src")).withColumn("on", F.lit(1)), "src", "inner", rows).select(F.col("dst").alias("node")).distinct()
-        front = materialise(reached.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(k)), "hops")
+        known = layers[-1].unionByName(layers[-2]) if k > 1 else layers[-1]
+        front = materialise(reached.join(known.select("node"), "node", "left_anti").withColumn("hops", F.lit(k)), "hops")
         if front.isEmpty():
-            break
+            seen = layers[0]
+            for layer in layers[1:]:
+                seen = seen.unionByName(layer)
+            return seen
         layers.append(front)
-        seen = layers[0]
-        for layer in layers[1:]:
-            seen = seen.unionByName(layer)
-    return seen
+    raise RuntimeError(f"hops are not settled after {max_rounds} rounds")
 
 
 def balls(edges: DataFrame, sources: DataFrame, size: int, a: str = "i", b: str = "j") -> DataFrame:

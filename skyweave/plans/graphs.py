@@ -50,8 +50,8 @@ def seen_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @book.query(f"WITH RECURSIVE {_SEEN}, h(node, d) AS (SELECT image_id, 0 FROM anchor_images UNION SELECT be.dst, h.d + 1 FROM h JOIN be ON be.src = h.node WHERE h.d < 6) SELECT CAST(node AS BIGINT) AS node, min(d) AS hops FROM h GROUP BY 1")
 def hop_distance(spark: SparkSession, sf: str) -> DataFrame:
-    """Steps from the nearest anchor, up to 6."""
-    return hops(seen_edges(spark, sf), anchors(spark, sf), max_hops=6)
+    """Steps from the nearest anchor."""
+    return hops(seen_edges(spark, sf), anchors(spark, sf))
 
 
 @book.query()

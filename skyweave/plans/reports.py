@@ -53,7 +53,7 @@ def graph_summary(spark: SparkSession, sf: str) -> DataFrame:
 )
 def error_by_hops(spark: SparkSession, sf: str) -> DataFrame:
     """Mean error of predicted overlap by the number of steps from an anchor."""
-    h = hops(seen_edges(spark, sf), anchors(spark, sf), max_hops=6).select(F.col("node").alias("i"), "hops")
+    h = hops(seen_edges(spark, sf), anchors(spark, sf)).select(F.col("node").alias("i"), "hops")
     m = accumulate(measurements(spark, sf), "overlap").join(predicted_pairs(spark, sf), ["i", "j"]).select("i", F.abs(F.col("score") - F.col("mean")).alias("e"))
     name = F.when(F.col("hops").isNull(), "none").when(F.col("hops") >= 3, "3+").otherwise(F.col("hops").cast("string"))
     return m.join(h, "i", "left").groupBy(name.alias("hop_class")).agg(F.count(F.lit(1)).alias("n"), six(F.avg("e")).alias("mae"))

@@ -5,7 +5,7 @@ import datetime
 import numpy as np
 import pytest
 
-from skyweave.plans import flows, geometry, reports
+from skyweave.plans import flows, geometry, graphs, reports
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -41,3 +41,10 @@ def test_tracks_behind_cameras_far_off_or_of_parallel_rays_are_dropped(spark, tm
     assert set(got) == {1, 4, 7}  # 2 is behind, 3, 6 and 8 have narrow rays, 5 has a view that is far off
     assert all(got[t] == pytest.approx((at[t][0], 0.0, at[t][1]), abs=1e-6) for t in got)
     assert {(r.track_id, r.obs_img) for r in reports.reprojection_filter(spark, str(tmp_path)).collect()} == {(1, 1), (1, 4), (4, 1), (4, 2), (4, 3), (7, 5), (7, 6), (7, 7)}
+
+
+def test_hops_go_on_to_the_end_of_a_chain(spark, tmp_path):
+    rows = [(10 * k + n, i) for k in range(8) for n in range(3) for i in (k, k + 1)]  # images 0 to 8, neighbours share 3 tracks
+    spark.createDataFrame(rows, "track_id long, obs_img int").write.parquet(str(tmp_path / "track_obs.parquet"))
+    spark.createDataFrame([(0,)], "image_id int").write.parquet(str(tmp_path / "anchor_images.parquet"))
+    assert {r.node: r.hops for r in graphs.hop_distance(spark, str(tmp_path)).collect()} == {k: k for k in range(9)}
