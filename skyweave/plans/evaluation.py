@@ -142,8 +142,11 @@ def mad_by_group(spark: SparkSession, sf: str) -> DataFrame:
 
 @book.query(f"WITH {MEASURED} SELECT batch_id, count(*) AS n, floor(quantile_cont(overlap, 0.1) * 1e6 + 0.5) / 1e6 AS p10, floor(quantile_cont(overlap, 0.5) * 1e6 + 0.5) / 1e6 AS p50, floor(quantile_cont(overlap, 0.9) * 1e6 + 0.5) / 1e6 AS p90 FROM me GROUP BY 1")
 def overlap_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    g = measurements(spark, sf).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.percentile("overlap", [0.1, 0.5, 0.9]).alias("p"))
-    return g.select("batch_id", "n", *[six(F.get("p", F.lit(k))).alias(name) for k, name in enumerate(("p10", "p50", "p90"))])
+    m = materialise(measurements(spark, sf).select("batch_id", "overlap"), "overlaps")
+    g = m.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    for q, name in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90")):
+        g = g.join(grouped_quantile(m, "batch_id", "overlap", q, name), "batch_id")
+    return g.select("batch_id", "n", *[six(F.col(name)).alias(name) for name in ("p10", "p50", "p90")])
 
 
 @book.query(f"WITH {MEASURED}, {PREDICTED}, b AS (SELECT batch_id, corr(score, overlap) AS c, count(*) AS n FROM me JOIN pp USING (i, j) GROUP BY 1 HAVING count(*) >= 10 AND stddev_pop(score) > 1e-9 AND stddev_pop(overlap) > 1e-9) SELECT count(*) AS batches, floor(avg(c) * 1e4 + 0.5) / 1e4 AS mean_corr FROM b")
@@ -180,6 +183,8 @@ def pose_auc_cdf(spark: SparkSession, sf: str) -> DataFrame:
 @book.query(f"WITH {_ERRORS} SELECT count(*) AS n, floor(count(*) FILTER (e < 5) / count(*) * 1e4 + 0.5) / 1e4 AS at_5, floor(count(*) FILTER (e < 15) / count(*) * 1e4 + 0.5) / 1e4 AS at_15, floor(median(e) * 1e3 + 0.5) / 1e3 AS median FROM er")
 def rotation_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """Shares of pairs below 5 and 15 degrees and the median."""
-    e = rotation_differences(spark, sf)
+    e = materialise(rotation_differences(spark, sf).select("e"), "rotation-differences")
+    median = grouped_quantile(e.withColumn("g", F.lit(1)), "g", "e", 0.5, "m").select("m")
     share = lambda t: (F.floor(F.count_if(F.col("e") < t) / F.count(F.lit(1)) * 1e4 + 0.5) / 1e4).alias(f"at_{t}")
-    return e.agg(F.count(F.lit(1)).alias("n"), share(5), share(15), (F.floor(F.median("e") * 1e3 + 0.5) / 1e3).alias("median"))
+    both = e.agg(F.count(F.lit(1)).alias("n"), share(5), share(15)).join(F.broadcast(median), how="left")  # one row each
+    return both.select("n", "at_5", "at_15", (F.floor(F.col("m") * 1e3 + 0.5) / 1e3).alias("median"))

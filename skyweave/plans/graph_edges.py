@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyweave.operators.ordering import six
+from skyweave.operators.ordering import grouped_quantile, six
 from skyweave.operators.pairs import accumulate, conflicting, matching_edges, members_together, mutual_graph, outside, row_lift, symmetric_min, top_k, union_graph, unordered
 from skyweave.plans.tables import MEASURED, PREDICTED, VIEWS, Book, measurements, predicted_pairs, predictions, table, views
+from skyweave.session import materialise
 
 book = Book()
 
@@ -125,7 +126,8 @@ def candidate_lift(spark: SparkSession, sf: str) -> DataFrame:
 @book.query(f"WITH {VIEWS} SELECT batch_id, count(cam_conf) AS n, floor(median(cam_conf) * 1e6 + 0.5) / 1e6 AS health, median(cam_conf) >= 5 AS healthy FROM vw WHERE batch_id IS NOT NULL GROUP BY 1 HAVING count(cam_conf) > 0")
 def health_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Batches by the median confidence of their views."""
-    g = views(spark, sf).filter("batch_id is not null").groupBy("batch_id").agg(F.count("cam_conf").alias("n"), F.median("cam_conf").alias("m")).filter("n > 0")
+    v = materialise(views(spark, sf).filter("batch_id is not null and cam_conf is not null").select("batch_id", "cam_conf"), "health")
+    g = v.groupBy("batch_id").agg(F.count("cam_conf").alias("n")).join(grouped_quantile(v, "batch_id", "cam_conf", 0.5, "m"), "batch_id")
     return g.select("batch_id", "n", six(F.col("m")).alias("health"), (F.col("m") >= 5).alias("healthy"))
 
 

@@ -5,7 +5,7 @@ import datetime
 import numpy as np
 import pytest
 
-from skyweave.plans import flows, geometry, graphs, reports
+from skyweave.plans import evaluation, flows, geometry, graph_edges, graphs, reports
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -48,3 +48,9 @@ def test_hops_go_on_to_the_end_of_a_chain(spark, tmp_path):
     spark.createDataFrame(rows, "track_id long, obs_img int").write.parquet(str(tmp_path / "track_obs.parquet"))
     spark.createDataFrame([(0,)], "image_id int").write.parquet(str(tmp_path / "anchor_images.parquet"))
     assert {r.node: r.hops for r in graphs.hop_distance(spark, str(tmp_path)).collect()} == {k: k for k in range(9)}
+
+
+@pytest.mark.parametrize("query", [evaluation.rotation_accuracy, evaluation.overlap_percentiles, graph_edges.health_gate])
+def test_quantiles_do_not_gather_a_group_in_one_task(spark, sf, query):
+    plan = query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "median" not in plan.replace("AS median", "")
