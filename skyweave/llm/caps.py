@@ -61,9 +61,12 @@ def _rank_ranged(rows: DataFrame, order: list, level: int, counts: DataFrame) ->
     before = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(F.struct("g", "pid").alias("gp"), before.alias("before"))
     local = placed.withColumn("local", F.row_number().over(Window.partitionBy("g", "pid").orderBy(*order))).withColumn("gp", F.struct("g", "pid"))
-    ranked = lookup_join(local, offsets, "gp", "inner").withColumn("rank", (F.col("before") + F.col("local")).cast("int"))
+    local = materialise(local, "caps-local")
+    # one row of offsets per contributor and partition carries the contributor's total along
     total = counts.select(F.struct("g").alias("gk"), (F.col("n") > level).alias("capped"))
-    return lookup_join(ranked.filter(F.col("rank") <= level).withColumn("gk", F.struct("g")), total, "gk", "inner").drop("gp", "gk", "pid", "local", "before")
+    offsets = lookup_join(offsets.withColumn("gk", F.struct("gp.g")), total, "gk", "inner").select("gp", "before", "capped")
+    ranked = lookup_join(local, materialise(offsets, "caps-offsets"), "gp", "inner").withColumn("rank", (F.col("before") + F.col("local")).cast("int"))
+    return ranked.filter(F.col("rank") <= level).drop("gp", "pid", "local", "before")
 
 
 def cap_contributors(

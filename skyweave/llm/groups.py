@@ -7,39 +7,56 @@ An edge is a row (u, v) with u > v. One round replaces the edges by
 * small star: every node u hands its smaller neighbours, and itself, to the smallest of them: (u, v)
   becomes (v, m(u)), and (u, m(u)) is added.
 
-Connectivity is kept by both. When a round leaves the edges unchanged, every node points at the smallest
-node of its component. Each half of a round is written to the shared folder, so lineage stays short and a
-lost executor repeats at most half a round.
+Connectivity is kept by both. The edges no longer change once they are stars: then every node points at the
+smallest node of its component. Each half of a round is written to the shared folder, so lineage stays short and
+a lost executor repeats at most half a round; edges are counted while they are written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from skyweave.operators.keyed import lookup_join
+from skyweave.operators import keyed
 from skyweave.session import forget, materialise
 
 
-def _smallest(edges: DataFrame, key: str) -> DataFrame:
-    """The smallest lower neighbour of every node that has one; combined before the shuffle."""
-    return edges.groupBy(F.col("u").alias(key)).agg(F.min("v").alias("m"))
+def _written(edges: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The written edges, with their number and further sums taken while they are written."""
+    seen = Observation()
+    counted = edges.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(n) for n, c in sums.items()])
+    return materialise(counted, label), seen.get
 
 
-def _large_star(edges: DataFrame, rows: int) -> DataFrame:
-    joined = lookup_join(edges, _smallest(edges, "v"), "v", "left", rows)
-    return joined.select("u", F.coalesce("m", "v").alias("v"))
+def _meet(edges: DataFrame, nodes: DataFrame, key: str, heavy: int) -> DataFrame:
+    """``edges`` with ``m`` of the node in column ``key`` (NULL where it has none).
 
-
-def _small_star(edges: DataFrame, rows: int) -> DataFrame:
-    least = _smallest(edges, "u")
-    joined = lookup_join(edges, least, "u", "inner", rows)
+    ``nodes`` is written and has ``node, m, n``, where n counts the edges that ask for the node. Those of more than
+    ``heavy`` edges are, by counting, at most keyed.HEAVY_KEYS and are broadcast; the others meet in a shuffle without a large key.
+    """
+    small = nodes.select(F.col("node").alias(key), "m")
+    hubs = nodes.filter(F.col("n") > heavy).select(F.col("node").alias(key), F.col("m").alias("hub_m"), F.lit(True).alias("hub"))
+    if hubs.isEmpty():
+        return edges.join(small, key, "left")
+    marked = edges.join(F.broadcast(hubs), key, "left")
+    light = marked.filter("hub is null").select("u", "v").join(small, key, "left")
+    return light.select("u", "v", "m").unionByName(marked.filter("hub").select("u", "v", F.col("hub_m").alias("m")))
+
+
+def _large_star(edges: DataFrame, heavy: int) -> DataFrame:
+    """``u, v, moved``; one aggregate finds every node's smallest lower neighbour and how many edges ask for it."""
+    asked = edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("low"), F.lit(1).alias("one"))
+    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("low"), F.lit(0).alias("one")).unionByName(asked)
+    nodes = nodes.groupBy("node").agg(F.min("low").alias("m"), F.sum("one").alias("n")).filter("m is not null")
+    nodes = materialise(nodes, "groups-lowest")
+    return _meet(edges, nodes, "v", heavy).select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved"))
+
+
+def _small_star(edges: DataFrame, heavy: int) -> DataFrame:
+    nodes = materialise(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "groups-lowest")
+    joined = _meet(edges, nodes, "u", heavy)
     moved = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    return moved.unionByName(nodes.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct()
 
 
 def connected_groups(pairs: DataFrame, a: str, b: str, *, max_rounds: int = 100) -> DataFrame:
@@ -54,21 +71,19 @@ def connected_groups(pairs: DataFrame, a: str, b: str, *, max_rounds: int = 100)
     sides = pairs.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y")).filter("x is not null and y is not null")
     ordered = materialise(sides.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "groups-pairs")
     alone = ordered.filter("u = v").select("u")
-    edges = ordered.filter("u != v")
-    state, done = _state(edges), False
-    for _ in range(max_rounds):
-        if state[0] == 0:
-            done = True
+    edges, held = _written(ordered.filter("u != v"), "groups-edges")
+    done = held["rows"] == 0
+    for _ in range(max_rounds if not done else 0):
+        heavy = max(keyed.HEAVY_ROWS, held["rows"] // keyed.HEAVY_KEYS)
+        large, seen = _written(_large_star(edges, heavy), "groups-large", moved=F.col("moved"))
+        # stars: no smaller end has a smaller neighbour itself, and every larger end has one edge
+        done = not seen["moved"] and edges.select("u").distinct().count() == held["rows"]
+        if done:
             break
-        large = materialise(_large_star(edges, state[0]), "groups-large")
-        small = materialise(_small_star(large, state[0]), "groups-small")
+        small, held = _written(_small_star(large.select("u", "v"), heavy), "groups-small")
         forget(large)
         forget(edges)
-        edges, before = small, state
-        state = _state(edges)
-        if state == before:
-            done = True
-            break
+        edges = small
     if not done:
         raise RuntimeError(f"groups are not settled after {max_rounds} rounds")
     linked = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

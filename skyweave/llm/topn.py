@@ -20,20 +20,23 @@ from pyspark.sql import types as T
 
 from skyweave.session import materialise, shuffle_width
 
+#: Rows of cut runs that one bucket holds on average; a merging task holds one bucket at a time.
+BUCKET_ROWS = 200_000
+
 
 class LoserTree:
     """Tournament over the heads of sorted runs; every inner node keeps the loser of its match.
 
-    ``keys[r]`` is the sorted list of keys of run r. ``None`` marks a run that is used up.
+    ``keys[r]`` is the sorted sequence of keys of run r. ``None`` marks a run that is used up.
     """
 
-    def __init__(self, keys: Sequence[list]):
+    def __init__(self, keys: Sequence[Sequence]):
         self.keys = keys
         self.at = [0] * len(keys)
         self.width = 1
         while self.width < len(keys):
             self.width *= 2
-        self.head = [k[0] if k else None for k in keys] + [None] * (self.width - len(keys))
+        self.head = [k[0] if len(k) else None for k in keys] + [None] * (self.width - len(keys))
         self.losers = [0] * self.width
         self.winner = self._play(1)
 
@@ -98,22 +101,33 @@ def _cutter(n: int):
     return cut
 
 
-def _orderable(columns: list[pa.ChunkedArray], descending: int) -> list[tuple]:
-    """Rows as tuples that compare as the run is sorted: group NULL first, score descending with missing last, ties ascending with NULL last."""
-    parts = []
+class _Keys:
+    """The sort keys of one run of a bucket, made when they are asked for: after N outputs of a group the rest of it needs none."""
+
+    def __init__(self, columns: list[list], first: int, end: int):
+        self.columns, self.first, self.end = columns, first, end
+
+    def __len__(self) -> int:
+        return self.end - self.first
+
+    def __getitem__(self, k: int) -> tuple:
+        return tuple([c[self.first + k] for c in self.columns])
+
+
+def _orderable(columns: list[pa.ChunkedArray], descending: int) -> list[list]:
+    """Lists whose rows compare as the run is sorted: group NULL first, score descending with missing last, ties ascending with NULL last.
+
+    Scores keep their type: whole numbers and decimals are negated exactly.
+    """
+    parts: list[list] = []
     for k, column in enumerate(columns):
-        missing = np.asarray(column.is_null())
-        if k == descending:
-            values = np.asarray(column.fill_null(0.0), dtype=float)
-            missing = missing | np.isnan(values)
-            parts += [missing.tolist(), np.where(missing, 0.0, -values).tolist()]
-        else:
-            if missing.any():
-                filler = column.drop_null()[0].as_py() if column.null_count < len(column) else 0
-                parts.append((~missing if k < descending else missing).tolist())
-                column = column.fill_null(filler) if column.null_count < len(column) else pa.chunked_array([pa.array(np.zeros(len(column), np.int8))])
-            parts.append(column.to_pylist())
-    return list(zip(*parts, strict=True))
+        values = column.to_pylist()
+        if column.null_count:
+            known = next((v for v in values if v is not None), 0)
+            parts.append([(v is None) != (k < descending) for v in values])
+            values = [known if v is None else v for v in values]
+        parts.append([-v for v in values] if k == descending else values)
+    return parts
 
 
 def _merger(n: int, ties: int):
@@ -133,7 +147,7 @@ def _merger(n: int, ties: int):
         following = np.repeat(starts[1:], np.diff(starts)).tolist()
         keys = _orderable([table.column(c) for c in ("g", "s", *[f"t{i}" for i in range(ties)])], descending=1)
         ids = _group_numbers(group)
-        tree = LoserTree([keys[a:b] for a, b in zip(bounds, bounds[1:], strict=False)])
+        tree = LoserTree([_Keys(keys, a, b) for a, b in zip(bounds, bounds[1:], strict=False)])
         taken, ranks = [], []
         current, given = -1, 0
         while tree.head[tree.winner] is not None:
@@ -187,28 +201,34 @@ def top_n_per_group(df: DataFrame, group: str, score: str, ties: Sequence[str],
 
     * equal scores: smaller values of ``ties`` first, NULL last; rows equal in everything are both kept;
     * a missing score (NULL or NaN) ranks last, or is left out with ``keep_missing=False``;
+    * scores are numbers of any type and are compared in it: neighbours above 2^53 and decimals stay apart;
     * NULL is a group of its own; an empty input gives an empty result.
 
-    ``buckets`` (default: the session's shuffle partitions) is the number of groups' buckets; one task
-    merges one bucket at a time and holds at most N rows per run and group of it.
+    ``buckets`` is the number of groups' buckets; by default it follows the rows of the cut runs, BUCKET_ROWS each, and
+    is at least the session's shuffle partitions. A task merges one bucket at a time, so its memory does not grow
+    with the input; a single group has at most N rows per run.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
     spark = df.sparkSession
-    buckets = buckets or shuffle_width(spark)
+    kind = df.schema[score].dataType
+    if not isinstance(kind, T.NumericType):
+        raise ValueError(f"{score} is not a number")
     names = [f"t{i}" for i in range(len(ties))]
-    rows = df.select(F.col(group).alias("g"), F.col(score).cast("double").alias("s"), *[F.col(c).alias(x) for c, x in zip(ties, names, strict=True)])
-    rows = rows.withColumn("s", F.when(~F.isnan("s"), F.col("s")))
+    rows = df.select(F.col(group).alias("g"), F.col(score).alias("s"), *[F.col(c).alias(x) for c, x in zip(ties, names, strict=True)])
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        rows = rows.withColumn("s", F.when(~F.isnan("s"), F.col("s")))
     if not keep_missing:
         rows = rows.filter(F.col("s").isNotNull())
     order = [F.col("g").asc_nulls_first(), F.col("s").desc_nulls_last(), *[F.col(x).asc_nulls_last() for x in names]]
     runs = rows.sortWithinPartitions(*order).mapInArrow(_cutter(n), rows.schema)
-    runs = materialise(runs.select(F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int").alias("bucket"), F.spark_partition_id().alias("run"), "*"), "topn-runs")
+    runs = materialise(runs.select(F.xxhash64("g").alias("bucket"), F.spark_partition_id().alias("run"), "*"), "topn-runs")
+    buckets = buckets or max(shuffle_width(spark), -(-runs.count() // BUCKET_ROWS))
     merged_schema = T.StructType([*rows.schema.fields, T.StructField("rank", T.IntegerType())])
     merged = (
-        runs.repartition(buckets, "bucket")
+        runs.withColumn("bucket", F.pmod("bucket", F.lit(buckets)).cast("int"))
+        .repartition(buckets, "bucket")
         .sortWithinPartitions("bucket", "run", *order)
         .mapInArrow(_merger(n, len(ties)), merged_schema)
     )
-    kind = dict(df.dtypes)[score]
-    return merged.select(F.col("g").alias(group), F.col("s").cast(kind).alias(score), *[F.col(x).alias(c) for c, x in zip(ties, names, strict=True)], "rank")
+    return merged.select(F.col("g").alias(group), F.col("s").alias(score), *[F.col(x).alias(c) for c, x in zip(ties, names, strict=True)], "rank")

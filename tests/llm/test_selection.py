@@ -151,3 +151,31 @@ def test_groups_of_nothing_and_too_few_rounds(spark):
     assert {tuple(r) for r in connected_groups(spark.createDataFrame([(5, 5)], "a int, b int"), "a", "b").collect()} == {(5, 5)}
     with pytest.raises(RuntimeError):
         connected_groups(spark.createDataFrame([(k, k + 1) for k in range(40)], "a int, b int"), "a", "b", max_rounds=1)
+
+
+@pytest.mark.parametrize("kind,values", [("bigint", [9007199254740993, 9007199254740992, 9007199254740995, None, -(2**63) + 1]), ("decimal(38,3)", None), ("int", [3, 3, -5, None, 2])])
+def test_scores_keep_their_type(spark, kind, values):
+    from decimal import Decimal
+
+    values = values or [Decimal("12345678901234567890123456789.001"), Decimal("12345678901234567890123456789.002"), Decimal("-0.001"), None, Decimal("12345678901234567890123456789.000")]
+    df = spark.createDataFrame([(1, v, k) for k, v in enumerate(values)], f"g int, s {kind}, t int").repartition(3)
+    got = top_n_per_group(df, "g", "s", ["t"], 3)
+    assert got.schema["s"].dataType == df.schema["s"].dataType
+    best = sorted(range(len(values)), key=lambda k: (values[k] is None, -(values[k] or 0), k))[:3]
+    assert [(r.s, r.t) for r in got.orderBy("rank").collect()] == [(values[k], k) for k in best]
+
+
+def test_top_n_refuses_scores_that_are_not_numbers(spark):
+    with pytest.raises(ValueError):
+        top_n_per_group(spark.createDataFrame([("a", "b", 1)], "g string, s string, t int"), "g", "s", ["t"], 1)
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    from skyweave.llm import topn
+
+    monkeypatch.setattr(topn, "BUCKET_ROWS", 100)
+    df = spark.range(5000).selectExpr("id % 997 as g", "cast(id as int) as s", "id as t").repartition(6)
+    found = top_n_per_group(df, "g", "s", ["t"], 2)
+    assert found.rdd.getNumPartitions() >= 19
+    expect = {(g, s) for g in range(997) for s in sorted(range(g, 5000, 997))[-2:]}
+    assert {(r.g, r.s) for r in found.collect()} == expect
