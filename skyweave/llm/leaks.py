@@ -102,15 +102,33 @@ def similarity(a: list[str], b: list[str], shingle: int) -> float:
     return both / whole if whole else 0.0
 
 
+#: Candidate pairs of windows that are held at once.
+CANDIDATE_PAIRS = 4_000_000
+
+
 class _Index:
-    """Multi-index over the fingerprints of item windows, built from what was broadcast."""
-
-    def __init__(self, items: list[tuple[int | None, list[str]]], p: LeakParams):
-        self.items, self.p = items, p
-        prints = [fingerprints(w, p) for _, w in items]
-        self.of = np.repeat(np.arange(len(items)), [len(x) for x in prints])
-        self.at = np.concatenate([np.arange(len(x)) for x in prints]) if prints else np.zeros(0, int)
-        self.prints = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
+    """Multi-index over the distinct windows of a part of the items. It is built once and broadcast as arrays.
+
+    A window that several items share stands in the index once; ``holders`` of it lists the items, once per place.
+    """
+
+    def __init__(self, items: list[tuple[int | None, list[str], np.ndarray]], p: LeakParams):
+        self.ids, self.radius = [i for i, _, _ in items], p.radius
+        found: dict[tuple[str, ...], int] = {}
+        owner, window, prints = [], [], []
+        for number, (_, words, marks) in enumerate(items):
+            for at in range(len(marks)):
+                text = tuple(words[at : at + p.window])
+                k = found.setdefault(text, len(found))
+                if k == len(prints):
+                    prints.append(marks[at])
+                owner.append(number)
+                window.append(k)
+        self.words = list(found)
+        self.prints = np.array(prints, np.uint64)
+        order = np.argsort(np.array(window, np.int64), kind="stable")
+        self.owner = np.array(owner, np.int64)[order]
+        self.first = np.searchsorted(np.array(window, np.int64)[order], np.arange(len(found) + 1))
         width = 64 // (p.radius + 1)
         self.blocks = []
         for k in range(p.radius + 1):
@@ -120,24 +138,25 @@ class _Index:
             order = np.argsort(value, kind="stable")
             self.blocks.append((shift, mask, value[order], order))
 
+    def holders(self, window: int) -> list[int]:
+        return self.owner[self.first[window] : self.first[window + 1]].tolist()
+
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (document window, item window) whose fingerprints differ in at most ``radius`` bits."""
-        mine, theirs = [], []
+        found = [np.zeros((0, 2), np.int64)]
         for shift, mask, value, order in self.blocks:
             v = (prints >> shift) & mask
             a, b = np.searchsorted(value, v, side="left"), np.searchsorted(value, v, side="right")
             hit = np.flatnonzero(b > a)
-            width = (b - a)[hit]
-            if not len(hit):
-                continue
-            row = np.repeat(hit, width)
-            other = order[np.repeat(a[hit], width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)]
-            near = np.bitwise_count(prints[row] ^ self.prints[other]) <= self.p.radius
-            mine.append(row[near])
-            theirs.append(other[near])
-        if not mine:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        both = np.unique(np.column_stack([np.concatenate(mine), np.concatenate(theirs)]), axis=0)
+            # a block that many windows share is looked through in pieces, so that few pairs are held
+            piece = np.cumsum((b - a)[hit]) // CANDIDATE_PAIRS
+            for part in np.split(hit, np.flatnonzero(np.diff(piece)) + 1):
+                width = (b - a)[part]
+                row = np.repeat(part, width)
+                other = order[np.repeat(a[part], width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)]
+                near = np.bitwise_count(prints[row] ^ self.prints[other]) <= self.radius
+                found.append(np.column_stack([row[near], other[near]]))
+        both = np.unique(np.concatenate(found), axis=0)
         return both[:, 0], both[:, 1]
 
 
@@ -146,8 +165,8 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
 
     ``windows`` counts the pairs of windows with a similarity of at least ``min_sim``; ``exact_windows`` those
     whose words are the same. Whole texts are read. NULL, empty and shorter texts have no window.
-    Rows that share an id count together; ids may be NULL. The items' words are broadcast in parts of at
-    most ``index_windows`` windows, each part being one pass over the documents; documents are never collected.
+    Rows that share an id count together; ids may be NULL. The index of the items is built once and broadcast in parts
+    of at most ``index_windows`` windows, each part being one pass over the documents; documents are never collected.
     """
     p = params
     spark = docs.sparkSession
@@ -164,18 +183,18 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
             whole = np.flatnonzero(np.arange(len(prints)) + p.window <= ends[own])
             mine, theirs = index.candidates(prints[whole])
             for at, other in zip(whole[mine].tolist(), theirs.tolist(), strict=True):
-                number, place = int(index.of[other]), int(index.at[other])
-                a, b = words[at : at + p.window], index.items[number][1][place : place + p.window]
+                a, b = words[at : at + p.window], list(index.words[other])
                 same = a == b
                 sim = 1.0 if same else similarity(a, b, p.shingle)
                 if sim >= p.min_sim:
-                    s = seen.setdefault((held[own[at]][0], number), [0, 0.0, 0])
-                    s[0] += 1
-                    s[1] = max(s[1], sim)
-                    s[2] += same
+                    for number in index.holders(other):
+                        s = seen.setdefault((held[own[at]][0], number), [0, 0.0, 0])
+                        s[0] += 1
+                        s[1] = max(s[1], sim)
+                        s[2] += same
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = _Index(sent.value, p)
+            index = sent.value
             for batch in batches:
                 docs = batch.column(0).to_pylist()
                 seen: dict[tuple[int, int], list] = {}
@@ -192,31 +211,36 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
                 if held:
                     compare(index, held, seen)
                 if seen:
-                    found = [(docs[row], index.items[k][0], *s) for (row, k), s in sorted(seen.items())]
+                    found = [(docs[row], index.ids[k], *s) for (row, k), s in sorted(seen.items())]
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)], ["doc_id", "item_id", "windows", "best_sim", "exact_windows"])
 
         return find
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words and fingerprints of the items, in the tasks."""
+        for batch in batches:
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            marks = [fingerprints(w, p).tobytes() for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string())), pa.array(marks, pa.binary())], ["i", "t", "words", "marks"])
+
     def parts() -> Iterator[list]:
         held, windows = [], 0
-        listed = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("t is not null").orderBy("i", "t")
+        listed = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("t is not null")
+        listed = listed.mapInArrow(cut, "i long, t string, words array<string>, marks binary").filter("length(marks) > 0").orderBy("i", "t").select("i", "words", "marks")
         for r in listed.toLocalIterator():
-            words = words_of(r.t)
-            n = len(words) - p.window + 1
-            if n < 1:
-                continue
-            if held and windows + n > p.index_windows:
+            marks = np.frombuffer(r.marks, np.uint64)
+            if held and windows + len(marks) > p.index_windows:
                 yield held
                 held, windows = [], 0
-            held.append((r.i, words))
-            windows += n
+            held.append((r.i, r.words, marks))
+            windows += len(marks)
         if held:
             yield held
 
     total = None
     for held in parts():
-        part = rows.mapInArrow(finder(spark.sparkContext.broadcast(held)), schema)
+        part = rows.mapInArrow(finder(spark.sparkContext.broadcast(_Index(held, p))), schema)
         total = part if total is None else total.unionByName(part)
     if total is None:
         return spark.createDataFrame([], schema)

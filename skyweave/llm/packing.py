@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +25,6 @@ from skyweave.session import materialise
 # Fixed value: the split pattern of the byte-level vocabulary.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: A vocabulary file above this size is not sent to the executors.
-VOCABULARY_BYTES = 64 << 20
-
 
 @dataclass(frozen=True)
 class GeneticParams:
@@ -40,22 +38,31 @@ class GeneticParams:
     seed: int = 11
 
 
+_ENCODINGS: dict[tuple[str, str], object] = {}
+
+
+def _encoding(file: str, pattern: str):
+    """The tokenizer of a vocabulary file, read once per worker process."""
+    import tiktoken
+
+    key = (file, pattern)
+    if key not in _ENCODINGS:
+        with open(file, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+        _ENCODINGS[key] = tiktoken.Encoding("texts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODINGS[key]
+
+
 def token_counts(df: DataFrame, key: str, text: str, *, tokenizer: str = TOKENIZER, pattern: str = SPLIT_PATTERN) -> DataFrame:
     """``id, size``: tokens of every whole text in a public byte-level vocabulary; NULL has 0 tokens.
 
-    The vocabulary is read once on the driver and broadcast (checked to be below VOCABULARY_BYTES).
+    Spark ships the vocabulary file, whatever its size, to the executors.
     """
-    with open(tokenizer, "rb") as f:
-        held = f.read(VOCABULARY_BYTES + 1)
-    if len(held) > VOCABULARY_BYTES:
-        raise ValueError(f"{tokenizer} is larger than {VOCABULARY_BYTES} bytes")
-    sent = df.sparkSession.sparkContext.broadcast(held)
+    df.sparkSession.sparkContext.addFile(tokenizer)
+    name = tokenizer.rpartition("/")[2]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in sent.value.splitlines() if line)}
-        encoding = tiktoken.Encoding("texts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encoding = _encoding(SparkFiles.get(name), pattern)
         for batch in batches:
             sizes = [0 if not t else len(encoding.encode_ordinary(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["id", "size"])
@@ -122,16 +129,48 @@ def cross(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, share:
     return _refill([(b, injected), (a, np.flatnonzero(~broken))], displaced, sizes, capacity)
 
 
+def _exchange(items: list[int], room: int, waiting: list[tuple[int, int]], sizes: list[int]) -> int:
+    """Swap one or two items of a bin for a larger waiting one that still fits; returns the room that is left.
+
+    ``waiting`` holds (size, item) in order. The bin gets fuller, and what waits gets smaller and easier to place.
+    """
+    for out in [(k,) for k in range(len(items))] + [(j, k) for k in range(len(items)) for j in range(k)]:
+        if not room or not waiting:
+            break
+        if out[-1] >= len(items):
+            continue
+        given = sum(sizes[items[k]] for k in out)
+        at = bisect.bisect_right(waiting, (given + room, 1 << 62)) - 1
+        if at >= 0 and waiting[at][0] > given:
+            size, item = waiting.pop(at)
+            room -= size - given
+            for k in sorted(out, reverse=True):
+                bisect.insort(waiting, (sizes[items[k]], items[k]))
+                del items[k]
+            items.append(item)
+    return room
+
+
+#: A bin of more items is not searched for exchanges: its room is filled by single items.
+EXCHANGE_ITEMS = 12
+
+
 def _refill(kept: list[tuple[np.ndarray, np.ndarray]], displaced: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
     bins = _Bins(capacity)
+    listed = sizes.tolist()
+    waiting = sorted((listed[k], k) for k in displaced.tolist())
     for assigned, numbers in kept:
         wanted = np.isin(assigned, numbers)
         members = np.flatnonzero(wanted)
         members = members[np.argsort(assigned[members], kind="stable")]
         for group in np.split(members, np.flatnonzero(np.diff(assigned[members])) + 1) if len(members) else []:
-            bins.adopt(group.tolist(), int(sizes[group].sum()))
-    for item in displaced[np.argsort(-sizes[displaced], kind="stable")]:
-        bins.best_fit(int(item), int(sizes[item]))
+            items = group.tolist()
+            room = capacity - sum(listed[k] for k in items)
+            if room and waiting and len(items) <= EXCHANGE_ITEMS:
+                room = _exchange(items, room, waiting, listed)
+            bins.adopt(items, capacity - room)
+    for size, item in reversed(waiting):
+        bins.best_fit(item, size)
     return bins.assignment(len(sizes))
 
 
@@ -180,16 +219,18 @@ def _evolver(capacity: int, p: GeneticParams, epoch: int, level: int):
     return run
 
 
-_STATE = "shard int, island int, items array<struct<id:bigint,part:int>>, sizes array<bigint>, people array<binary>, elite binary, score double"
+_ITEM = "id bigint, part int, parts int, whole bigint, copy bigint"
+_STATE = f"shard int, island int, items array<struct<{_ITEM.replace(' ', ':').replace(',:', ', ')}>>, sizes array<bigint>, people array<binary>, elite binary, score double"
+_NAMES = [c.split()[0] for c in _ITEM.split(", ")]
 
 
 def _evolve_shards(items: DataFrame, shards: int, capacity: int, p: GeneticParams, level: int) -> DataFrame:
-    """``id, part, size, shard, bin``: the best individual of every shard; ``items`` has ``id, part, size``."""
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("id", "part", F.lit(level)), F.lit(shards)).cast("int"))
-    listed = F.array_sort(F.collect_list(F.struct("id", "part", "size")))
+    """The columns of _ITEM with ``size, shard, bin``: the best individual of every shard."""
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("id", "whole", "copy", "part", F.lit(level)), F.lit(shards)).cast("int"))
+    listed = F.array_sort(F.collect_list(F.struct(*_NAMES, "size")))
     state = dealt.groupBy("shard").agg(listed.alias("l")).select(
         "shard",
-        F.transform("l", lambda e: F.struct(e["id"].alias("id"), e["part"].alias("part"))).alias("items"),
+        F.transform("l", lambda e: F.struct(*[e[c].alias(c) for c in _NAMES])).alias("items"),
         F.transform("l", lambda e: e["size"]).alias("sizes"),
         F.explode(F.sequence(F.lit(0), F.lit(p.islands - 1))).alias("island"),
     )
@@ -205,51 +246,53 @@ def _evolve_shards(items: DataFrame, shards: int, capacity: int, p: GeneticParam
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, found, sizes, elite in zip(*[batch.column(c).to_pylist() for c in ("shard", "items", "sizes", "elite")], strict=True):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["id"] for x in found], pa.int64()), pa.array([x["part"] for x in found], pa.int32()), pa.array(sizes, pa.int64()), pa.array([shard] * len(found), pa.int32()), pa.array(np.frombuffer(elite, np.int32))],
-                    ["id", "part", "size", "shard", "bin"],
-                )
+            found = batch.column(1)
+            items, sizes = found.flatten(), batch.column(2)
+            per = np.diff(np.asarray(found.offsets))
+            bins = np.concatenate([np.frombuffer(x, np.int32) for x in batch.column(3).to_pylist()]) if len(found) else np.zeros(0, np.int32)
+            columns = [items.field(items.type.get_field_index(c)) for c in _NAMES]
+            yield pa.RecordBatch.from_arrays([*columns, sizes.flatten(), pa.array(np.repeat(np.asarray(batch.column(0)), per)), pa.array(bins)], [*_NAMES, "size", "shard", "bin"])
 
-    return best.mapInArrow(unfold, "id long, part int, size long, shard int, bin int")
+    return best.mapInArrow(unfold, f"{_ITEM}, size long, shard int, bin int")
 
 
 def pack_items(items: DataFrame, key: str, size: str, capacity: int, params: GeneticParams = GeneticParams()) -> DataFrame:
-    """The container of every item: ``id, part, parts, size, container``.
+    """The container of every item: ``id, whole, copy, part, parts, size, container``; ``whole`` is the item's size and ``size`` that of the part.
 
     No container holds more than ``capacity``. An item is split only if it alone is larger: into full containers of its own
     and a rest, numbered by ``part``, which is packed with the other items. ``parts`` is their number.
-    Repeated keys are one item of the largest size given; rows without a key are left out; a size that is
-    NULL or negative counts as 0 and still gets a container. Empty input gives an empty result.
+    Every row is an item: rows that share a key and a size, or have no key, are told apart by ``copy`` (0 for the first). A size
+    that is NULL or negative counts as 0 and still gets a container. Empty input gives an empty result.
     ``container`` is unique over all containers.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    whole = items.select(F.col(key).cast("long").alias("id"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("size")).filter("id is not null")
-    whole = whole.groupBy("id").agg(F.max("size").alias("size"))
-    parts = F.greatest(F.ceil(F.col("size") / F.lit(capacity)), F.lit(1)).cast("int")
-    pieces = whole.withColumn("parts", parts).select("id", "parts", F.col("size").alias("all"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    pieces = pieces.select("id", "part", "parts", F.least(F.lit(capacity).cast("long"), F.col("all") - F.col("part") * F.lit(capacity).cast("long")).alias("size"))
+    whole = items.select(F.col(key).cast("long").alias("id"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("whole"))
+    # equal rows are counted before they meet, so a key with many rows is no large group
+    whole = whole.groupBy("id", "whole").agg(F.count(F.lit(1)).alias("n")).select("id", "whole", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    parts = F.greatest(F.ceil(F.col("whole") / F.lit(capacity)), F.lit(1)).cast("int")
+    pieces = whole.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pieces = pieces.withColumn("size", F.least(F.lit(capacity).cast("long"), F.col("whole") - F.col("part") * F.lit(capacity).cast("long")))
     pieces = materialise(pieces, "packing-items")
     full = pieces.filter((F.col("parts") > 1) & (F.col("size") == capacity))
     loose = pieces.filter((F.col("parts") == 1) | (F.col("size") < capacity))
     n = loose.count()
     p = params
     shards = max(1, -(-n // p.shard_items))
-    first = materialise(_evolve_shards(loose.select("id", "part", "size"), shards, capacity, p, 0), "packing-first")
-    packed = first.select("id", "part", F.concat_ws("-", F.lit("a"), "shard", "bin").alias("container"))
+    first = materialise(_evolve_shards(loose, shards, capacity, p, 0), "packing-first")
+    out = ["id", "whole", "copy", "part", "parts", "size"]
+    name = lambda df, level: df.select(*out, F.concat_ws("-", F.lit(level), "shard", "bin").alias("container"))
+    packed = name(first, "a")
     if shards > 1:
-        loads = first.groupBy("shard", "bin").agg(F.sum("size").alias("load"), F.count(F.lit(1)).alias("n"))
+        loads = first.groupBy("shard", "bin").agg(F.sum("size").alias("load"))
         poor = loads.filter(F.col("load") < p.reopen_below * capacity)
-        again = first.join(poor.select("shard", "bin"), ["shard", "bin"], "left_semi")
+        again = materialise(first.join(poor.select("shard", "bin"), ["shard", "bin"], "left_semi"), "packing-again")
         m = again.count()
         if m:
-            second = materialise(_evolve_shards(again.select("id", "part", "size"), max(1, -(-m // p.shard_items)), capacity, p, 1), "packing-second")
+            second = materialise(_evolve_shards(again, max(1, -(-m // p.shard_items)), capacity, p, 1), "packing-second")
             kept = first.join(poor.select("shard", "bin"), ["shard", "bin"], "left_anti")
-            packed = kept.select("id", "part", F.concat_ws("-", F.lit("a"), "shard", "bin").alias("container"))
-            packed = packed.unionByName(second.select("id", "part", F.concat_ws("-", F.lit("b"), "shard", "bin").alias("container")))
-    packed = packed.unionByName(full.select("id", "part", F.concat_ws("-", F.lit("f"), "id", "part").alias("container")))
-    return pieces.join(packed, ["id", "part"]).select("id", "part", "parts", "size", "container")
+            packed = name(kept, "a").unionByName(name(second, "b"))
+    return packed.unionByName(full.select(*out, F.concat_ws("-", F.lit("f"), F.coalesce(F.col("id").cast("string"), F.lit("none")), "whole", "copy", "part").alias("container")))
 
 
 def pack_texts(df: DataFrame, key: str, text: str, capacity: int = 1024, *, tokenizer: str = TOKENIZER, params: GeneticParams = GeneticParams()) -> DataFrame:

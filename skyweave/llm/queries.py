@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from skyweave.llm.quality import quality
 from skyweave.llm.topn import top_n_per_group
 from skyweave.llm.vectors import IndexParams, most_similar
 from skyweave.operators.keyed import latest
+from skyweave.session import materialise
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -152,20 +155,67 @@ def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select(F.col("id").alias("doc_id"), "part", "parts", F.col("size").alias("tokens"), "container")
 
 
+def p6_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of any packing: all texts are in, no container is overfull, no text is split that fits, none is lost in part."""
+    packed = materialise(p6_pack(spark, sf), "packing-audit")
+    texts = packed.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.max("parts").alias("parts"), F.count(F.lit(1)).alias("n"))
+    needless = F.count_if((F.col("parts") > 1) & (F.col("tokens") <= 1024))
+    a = texts.agg(F.count(F.lit(1)).alias("texts"), needless.alias("needless_splits"), F.count_if(F.col("n") != F.col("parts")).alias("lost_parts"))
+    b = packed.groupBy("container").agg(F.sum("tokens").alias("tokens")).agg(F.count_if(F.col("tokens") > 1024).alias("overfull"))
+    return a.crossJoin(F.broadcast(b))  # one row each
+
+
+P6_AUDIT = "SELECT count(*) AS texts, CAST(0 AS BIGINT) AS needless_splits, CAST(0 AS BIGINT) AS lost_parts, CAST(0 AS BIGINT) AS overfull FROM documents"
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_pack(spark, sf).filter("parts > 1").select("doc_id").distinct()
 
 
+#: A subword never spans two runs of letters, digits or marks, so a text has at least as many tokens as runs; no text is near the size.
+P6_FOUND = r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+')) > 1024"
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     leaks = find_leaks(_table(spark, sf, "documents"), "doc_id", "text", _table(spark, sf, "eval_items"), "item_id", "text")
     return leaks.filter("exact_windows > 0").select("doc_id", "item_id")
 
 
+def _compatible() -> str:
+    """SQL that takes ``text`` to NFKD without marks and format characters, in lower case; the mapping is made from Unicode's own tables."""
+    single, several = {}, {}
+    for c in map(chr, range(0xA0, 0x30000)):
+        plain = unicodedata.normalize("NFKD", c)
+        if plain != unicodedata.normalize("NFD", c) and not 0xAC00 <= ord(c) <= 0xD7A3:
+            kept = "".join(x for x in plain if unicodedata.category(x) not in ("Mn", "Cf"))
+            (single if len(kept) == 1 else several)[c] = kept
+    quoted = lambda x: "".join(x).replace("'", "''")
+    text = f"translate(text, '{quoted(single)}', '{quoted(single.values())}')"
+    for c in (c for c in several if unicodedata.category(c)[0] in "LN" and several[c].isalnum() and ord(c) in (*range(0x132, 0x134), *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4), *range(0xFB00, 0xFB07))):
+        text = f"replace({text}, '{c}', '{several[c]}')"
+    return f"lower(regexp_replace(strip_accents(regexp_replace({text}, '[\\p{{Cf}}\\p{{Mn}}]', '', 'g')), '[\\p{{Cf}}\\p{{Mn}}]', '', 'g'))"
+
+
+_WORDS = f"regexp_extract_all({_compatible()}, '[\\p{{L}}\\p{{N}}]+')"
+P7_FOUND = f"""
+WITH n AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+k AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, array_to_string(w[i:i+8], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 8)) AS i FROM n WHERE len(w) >= 9)),
+kw AS (SELECT DISTINCT item_id, array_to_string(w[i:i+8], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 8)) AS i FROM k WHERE len(w) >= 9))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN kw USING (g)
+"""
+
+
 def p8_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics, rules and nearest structural profile of every text."""
     return quality(_table(spark, sf, "documents"), "doc_id", "text", _table(spark, sf, "common_words"))
 
 
+def p8_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The structure of every text as divergence decides it: prose of a language, list, table or junk."""
+    return p8_stats(spark, sf).select("doc_id", "profile", F.round("divergence", 4).alias("divergence"))
+
+
 def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The statistics alone, rounded, for comparison with SQL."""
     six = lambda c: (F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c)
@@ -173,9 +223,8 @@ def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    judged = p8_stats(spark, sf)
-    # every text has a nearest profile; the rules that the statement fixes decide
-    return judged.filter("not_prose and profile is not null and (divergence is null or divergence >= 0)").select("doc_id")
+    """The texts for which one of the statement's rules holds; the nearest profile is in ``p8_stats`` and does not decide here."""
+    return p8_stats(spark, sf).filter("not_prose").select("doc_id")
 
 
 _SEP = "[ \\t\\r\\n\u00a0]"
@@ -210,10 +259,12 @@ def queries() -> dict:
         "p4_lists": p4_lists,
         "p6_found": p6_found,
         "p6_pack": p6_pack,
+        "p6_audit": p6_audit,
         "p7_found": p7_found,
         "p8_found": p8_found,
         "p8_counts": p8_counts,
         "p8_stats": p8_stats,
+        "p8_profiles": p8_profiles,
     }
 
 
@@ -224,6 +275,9 @@ def oracle_sql() -> dict[str, str]:
         "p2_share": P2_SHARE,
         "p3_found": P3_FOUND,
         "p4_found": P4_FOUND,
+        "p6_found": P6_FOUND,
+        "p6_audit": P6_AUDIT,
+        "p7_found": P7_FOUND,
         "p8_found": P8_FOUND,
         "p8_counts": P8_COUNTS,
     }
