@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,16 +27,19 @@ from skyweave.session import materialise
 
 @dataclass(frozen=True)
 class IndexParams:
-    """``cells`` None: one cell for about ``cell_rows`` rows, between 8 and ``max_cells``.
+    """``cells`` None: one cell for about ``cell_rows`` rows, at least 8.
 
-    The sample that codebooks are trained on has ``train_rows`` rows, or ``cell_train_rows`` per cell if that is more: at most
-    ``max_cells * cell_train_rows``.
+    Up to ``max_first`` cells the words of the first codebook are the cells. For more, a cell is a pair of the first two words, and
+    both codebooks grow with the square root of the cells: a cell keeps about ``cell_rows`` rows, and a query finds its
+    cells among two short lists. The sample that codebooks are trained on has ``train_rows`` rows, or
+    ``cell_train_rows`` per word of the first codebook if that is more: at most ``max_first * cell_train_rows`` until the cells
+    exceed ``max_first`` squared.
     """
 
     dim: int
     cells: int | None = None
     cell_rows: int = 300
-    max_cells: int = 16_384
+    max_first: int = 16_384
     books: int = 6
     words: int = 64
     beam: int = 4
@@ -76,10 +80,34 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 
 @dataclass(frozen=True)
 class Codebooks:
-    """``coarse`` is the first codebook; ``books`` are those of the residuals."""
+    """``coarse`` is the first codebook; ``books`` are those of the residuals. ``levels`` of them (1 or 2) name the cells."""
 
     coarse: np.ndarray
     books: list[np.ndarray]
+    levels: int = 1
+
+    def cell(self, codes: np.ndarray) -> np.ndarray:
+        first = codes[:, 0].astype(np.int64)
+        return first if self.levels == 1 else first * len(self.books[0]) + codes[:, 1]
+
+    def word_sums(self, cell: int) -> np.ndarray:
+        """The part of a vector that its cell says."""
+        if self.levels == 1:
+            return self.coarse[cell]
+        return self.coarse[cell // len(self.books[0])] + self.books[0][cell % len(self.books[0])]
+
+    def nearest_cells(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The cells whose words are nearest to every vector.
+
+        Of two levels, the nearest first words are taken, twice the root of ``probes`` of them, with all second words each.
+        """
+        if self.levels == 1:
+            d = _nearest(x, self.coarse)
+            width = min(probes, d.shape[1])
+            return np.argpartition(d, width - 1, axis=1)[:, :width] if width < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(x), 1))
+        codes, residual = self.start(x, 2 * int(np.ceil(np.sqrt(probes))))
+        codes, _ = self.extend(codes, residual, self.books[0], probes)
+        return codes[:, :, 0].astype(np.int64) * len(self.books[0]) + codes[:, :, 1]
 
     def start(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` nearest first words of every vector, and what they leave over."""
@@ -115,21 +143,27 @@ class Codebooks:
         return out
 
 
+def shape(cells: int, p: IndexParams) -> tuple[int, int]:
+    """Words of the first codebook, and levels of the cells."""
+    return (cells, 1) if cells <= p.max_first else (int(np.ceil(np.sqrt(cells))), 2)
+
+
 def train(sample: np.ndarray, cells: int, p: IndexParams) -> Codebooks:
     """Codebooks from unit vectors, each trained on the residuals of the ones before it."""
     rng = np.random.default_rng(p.seed)
     x = sample.astype(np.float32)
-    coarse = _kmeans(x, cells, p.train_rounds, rng)
+    first, levels = shape(cells, p)
+    coarse = _kmeans(x, first, p.train_rounds, rng)
     made = Codebooks(coarse, [])
     # the beams of the sample are carried from codebook to codebook
     beams = [made.start(x[i], p.beam) for i in _slices(len(x), len(coarse), 4096)]
     books: list[np.ndarray] = []
-    for _ in range(p.books):
+    for m in range(p.books):
         left = np.concatenate([r[np.arange(len(r)), (r**2).sum(2).argmin(1)] for _, r in beams])
-        books = [*books, _kmeans(left, p.words, p.train_rounds, rng)]
+        books = [*books, _kmeans(left, first if m == 0 and levels == 2 else p.words, p.train_rounds, rng)]
         if len(books) < p.books:
             beams = [made.extend(codes, residual, books[-1], p.beam) for codes, residual in beams]
-    return Codebooks(coarse, books)
+    return Codebooks(coarse, books, levels)
 
 
 def _matrix(column: pa.Array, dim: int, kind: str = "<f4") -> np.ndarray:
@@ -173,8 +207,8 @@ def valid_vectors(df: DataFrame, key: str, vector: str, dim: int, at: str | None
 
 
 def _fit(vectors: DataFrame, rows: int, p: IndexParams) -> Codebooks:
-    cells = p.cells or int(min(p.max_cells, max(8, rows // p.cell_rows)))
-    most = max(p.train_rows, p.cell_train_rows * cells)
+    cells = p.cells or max(8, rows // p.cell_rows)
+    most = max(p.train_rows, p.cell_train_rows * shape(cells, p)[0])
     share = min(1.0, most / max(rows, 1))
     sampled = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) <= F.lit(int(share * 1_000_003))) if share < 1 else vectors
     taken = sampled.orderBy(F.xxhash64("id")).limit(most).select("vec").toArrow()
@@ -182,15 +216,17 @@ def _fit(vectors: DataFrame, rows: int, p: IndexParams) -> Codebooks:
     return train(x, cells, p)
 
 
-def _search_block(p: IndexParams, books: list[np.ndarray], coarse: np.ndarray, top: int):
+def _search_block(p: IndexParams, model: Broadcast, top: int):
     names = ["query", "id", "sim"]
 
     def search(key: tuple, db: pa.Table, queries: pa.Table) -> pa.Table:
         if not db.num_rows or not queries.num_rows:
             return pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        cell = key[0].as_py()
+        c: Codebooks = model.value
+        said = c.word_sums(key[0].as_py())
+        rest = list(enumerate(c.books))[c.levels - 1 :]  # the words that the cell does not name
         ids = np.asarray(db.column("id"))
-        codes = _matrix(db.column("codes").combine_chunks(), len(books) + 1, "<i4")
+        codes = _matrix(db.column("codes").combine_chunks(), len(c.books) + 1, "<i4")
         norms = np.asarray(db.column("norm"))
         x = _unit(_matrix(db.column("vec").combine_chunks(), p.dim))
         asked = np.asarray(queries.column("id"))
@@ -200,8 +236,8 @@ def _search_block(p: IndexParams, books: list[np.ndarray], coarse: np.ndarray, t
         for i in range(0, len(asked), 512):
             part = q[i : i + 512]
             small = part.astype(np.float32)
-            score = np.repeat((small @ coarse[cell])[:, None], len(ids), axis=1)
-            for m, book in enumerate(books):
+            score = np.repeat((small @ said)[:, None], len(ids), axis=1)
+            for m, book in rest:
                 score += np.take(small @ book.T, codes[:, m + 1], axis=1)
             score /= norms[None, :]
             best = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.tile(np.arange(len(ids)), (len(part), 1))
@@ -236,12 +272,11 @@ def most_similar(df: DataFrame, key: str, vector: str, k: int, params: IndexPara
     index = vectors.withColumn("copy", F.row_number().over(same)).filter(F.col("copy") <= k + 1).withColumn("rep", F.first("id").over(same))
     index = materialise(index, "vectors-index")
     fitted = _fit(vectors, rows, params)
-    coarse, books = fitted.coarse.astype(np.float32), [b.astype(np.float32) for b in fitted.books]
-    model = spark.sparkContext.broadcast((coarse, books))  # at most max_cells + books * words vectors
-    probes = min(params.probes, len(coarse))
+    fitted = Codebooks(fitted.coarse.astype(np.float32), [b.astype(np.float32) for b in fitted.books], fitted.levels)
+    model = spark.sparkContext.broadcast(fitted)  # its words grow with the square root of the rows, once there are many
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Codebooks(*model.value)
+        c: Codebooks = model.value
         for batch in batches:
             for i in _slices(batch.num_rows, len(c.coarse), 1024):
                 part = batch.slice(i.start, i.stop - i.start)
@@ -249,37 +284,36 @@ def most_similar(df: DataFrame, key: str, vector: str, k: int, params: IndexPara
                 codes = c.encode(x, params.beam)
                 norm = np.sqrt((c.decode(codes) ** 2).sum(1)).clip(1e-6)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(codes[:, 0]), _binary(codes.astype("<i4")), pa.array(norm.astype(np.float32))],
+                    [part.column(0), part.column(1), pa.array(c.cell(codes)), _binary(codes.astype("<i4")), pa.array(norm.astype(np.float32))],
                     ["id", "vec", "cell", "codes", "norm"],
                 )
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = model.value[0]
+        c: Codebooks = model.value
         for batch in batches:
-            for i in _slices(batch.num_rows, len(words), 1024):
+            for i in _slices(batch.num_rows, len(c.coarse) if c.levels == 1 else 2 * params.probes * len(c.books[0]), 1024):
                 part = batch.slice(i.start, i.stop - i.start)
-                d = _nearest(_unit(_matrix(part.column(1), params.dim)).astype(np.float32), words)
-                near = np.argpartition(d, probes - 1, axis=1)[:, :probes] if probes < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(d), 1))
-                rep = pa.array(np.repeat(np.arange(len(d)), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rep), part.column(1).take(rep), pa.array(near.ravel().astype(np.int32))], ["id", "vec", "cell"])
+                near = c.nearest_cells(_unit(_matrix(part.column(1), params.dim)).astype(np.float32), params.probes)
+                rep = pa.array(np.repeat(np.arange(len(near)), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rep), part.column(1).take(rep), pa.array(near.ravel().astype(np.int64))], ["id", "vec", "cell"])
 
     asking = index.filter("copy = 1") if queries is None else index.filter("copy = 1").join(
         vectors.filter(queries).join(index.select("vec", "rep"), "vec").select(F.col("rep").alias("id")).distinct(), "id", "left_semi"
     )
-    coded = materialise(index.select("id", "vec").mapInArrow(encode, "id long, vec binary, cell int, codes binary, norm float"), "vectors-coded")
-    asked = asking.select("id", "vec").mapInArrow(probe, "id long, vec binary, cell int")
+    coded = materialise(index.select("id", "vec").mapInArrow(encode, "id long, vec binary, cell long, codes binary, norm float"), "vectors-coded")
+    asked = asking.select("id", "vec").mapInArrow(probe, "id long, vec binary, cell long")
     # a cell of many rows is cut into blocks; every block is searched by all queries of the cell
     held = coded.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(params.block_rows)).cast("int").alias("db_blocks"))
     wanted = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * params.block_rows)).cast("int").alias("q_blocks"))
-    plan = {r.cell: (r.db_blocks, r.q_blocks) for r in held.join(wanted, "cell").collect()}  # one row per cell, at most max_cells
-    sizes = F.broadcast(spark.createDataFrame([(c, d, q) for c, (d, q) in plan.items()], "cell int, db_blocks int, q_blocks int"))
+    # one row per cell that is asked for, met by a shuffle as cells grow with the rows
+    sizes = materialise(held.join(wanted, "cell"), "vectors-cells")
     db_side = coded.join(sizes, "cell").withColumn("db", F.pmod(F.xxhash64("id"), F.col("db_blocks")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
     q_side = asked.join(sizes, "cell").withColumn("qb", F.pmod(F.xxhash64("id"), F.col("q_blocks")).cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), F.col("db_blocks") - 1)))
     found = (
         db_side.select("cell", "db", "qb", "id", "vec", "codes", "norm")
         .groupBy("cell", "db", "qb")
         .cogroup(q_side.select("cell", "db", "qb", "id", "vec").groupBy("cell", "db", "qb"))
-        .applyInArrow(_search_block(params, books, coarse, k + 1), "query long, id long, sim double")
+        .applyInArrow(_search_block(params, model, k + 1), "query long, id long, sim double")
     )
     best = Window.partitionBy("query").orderBy(F.col("sim").desc(), "id")
     lists = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).select(F.col("query").alias("rep"), F.col("id").alias("other"), "sim")

@@ -1,6 +1,9 @@
 """Vector search against brute force, with copies, ties and unusable vectors."""
 
+from dataclasses import replace
+
 import numpy as np
+import pytest
 
 from skyweave.llm.vectors import IndexParams, brute_force, most_similar, valid_vectors
 
@@ -28,9 +31,11 @@ def lists(x, k):
     return order, s
 
 
-def test_recall_and_exact_similarities(spark):
+@pytest.mark.parametrize("params", [P, replace(P, max_first=4)])
+def test_recall_and_exact_similarities(spark, params):
+    """With one word, and with two, naming a cell."""
     df, x = table(spark)
-    got = most_similar(df, "id", "vec", 5, P, at="at").collect()
+    got = most_similar(df, "id", "vec", 5, params, at="at").collect()
     order, s = lists(x, 5)
     assert len(got) == len({(r.id, r.other) for r in got})
     assert all(r.id != r.other and abs(r.sim - s[r.id, r.other]) < 2e-6 for r in got)
