@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyweave.operators.keyed import lookup_join
-from skyweave.operators.ordering import grouped_quantile
-from skyweave.session import forget, materialise
+from skyweave.operators.ordering import positions_in_group
+from skyweave.session import Growing, forget, materialise, materialise_counted
 
 
 def voxel(columns: Sequence[str], size: float) -> list[Column]:
@@ -24,8 +24,8 @@ def voxel_counts(points: DataFrame, columns: Sequence[str], size: float) -> Data
 
 
 def voxel_representative(points: DataFrame, key: str, columns: Sequence[str], size: float, order: Column | None = None) -> DataFrame:
-    """One point per voxel: the one with the smallest ``order`` (default: a hash of the key), then key."""
-    first = F.xxhash64(key) if order is None else order
+    """One point per voxel: the one with the smallest ``order`` (default: the MD5 of the key as text), then key."""
+    first = F.md5(F.col(key).cast("string")) if order is None else order
     kept = F.min(F.struct(first.alias("o"), F.col(key).alias("key"), *[F.col(c) for c in columns])).alias("p")
     return points.groupBy(*voxel(columns, size)).agg(kept).select(*[f"v{c}" for c in columns], F.col("p.key").alias(key), *[F.col(f"p.{c}") for c in columns])
 
@@ -41,32 +41,59 @@ def voxel_size_for(points: DataFrame, columns: Sequence[str], most: int, low: fl
     return high
 
 
-def median_cells(points: DataFrame, key: str, x: str, y: str, most: int, max_rounds: int = 40) -> DataFrame:
+def median_cells(points: DataFrame, key: str, x: str, y: str, most: int, max_rounds: int = 60) -> DataFrame:
     """``key, cell``: cells of at most ``most`` points, by splitting at the median of the longer side, again and again.
 
-    Points on the median go by key order into the halves, so equal positions are split as well. Cell numbers are binary paths.
+    The points of a cell are ranked by the longer side (x if both are equal), then by key, and the first half (rounded down)
+    goes left; so equal positions are split as well. Keys must be distinct and positions not missing. Cell numbers are binary paths.
     """
     at = materialise(points.select(F.col(key).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"), F.lit(1).cast("long").alias("cell")), "cells")
     for _ in range(max_rounds):
         sizes = at.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x") >= F.max("y") - F.min("y")).alias("by_x")).filter(F.col("n") > most)
         sizes = materialise(sizes, "cells-sizes")
         if sizes.isEmpty():
-            break
+            return at.select(F.col("id").alias(key), "cell")
         joined = materialise(lookup_join(at, sizes, "cell", "left").withColumn("v", F.when(F.col("by_x"), F.col("x")).otherwise(F.col("y"))), "cells-open")
-        open_ = joined.filter("n is not null")
-        median = grouped_quantile(open_, "cell", "v", 0.5, "m")
-        split = materialise(lookup_join(open_, median, "cell", "inner"), "cells-split")
-        # of the points on the median, by id, as many go left as the left half lacks
-        left = split.groupBy("cell").agg(F.count_if(F.col("v") < F.col("m")).alias("below"), F.first("n").alias("all"))
-        ties = split.filter("v = m").groupBy("cell").agg(F.count(F.lit(1)).alias("ties"))
-        lacks = left.join(ties, "cell", "left").select("cell", F.least(F.coalesce("ties", F.lit(0)), F.greatest(F.floor(F.col("all") / 2) - F.col("below"), F.lit(0))).alias("lacks"), F.greatest(F.coalesce("ties", F.lit(1)), F.lit(1)).alias("ties"))
-        share = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-        placed = lookup_join(split, lacks, "cell", "inner").withColumn("low", (F.col("v") < F.col("m")) | ((F.col("v") == F.col("m")) & (share < F.col("lacks") / F.col("ties"))))
+        placed = positions_in_group(joined.filter("n is not null").select("id", "x", "y", "cell", "v"), "cell", [F.col("v"), F.col("id")])
+        right = (F.col("pos") >= F.floor(F.col("size") / 2)).cast("long")
         done = joined.filter("n is null").select("id", "x", "y", "cell")
-        after = materialise(done.unionByName(placed.select("id", "x", "y", (F.col("cell") * 2 + F.when(F.col("low"), 0).otherwise(1)).alias("cell"))), "cells")
+        after = materialise(done.unionByName(placed.select("id", "x", "y", (F.col("cell") * 2 + right).alias("cell"))), "cells")
         forget(at)
+        forget(joined)
         at = after
-    return at.select(F.col("id").alias(key), "cell")
+    raise RuntimeError(f"cells are not small enough after {max_rounds} rounds")
+
+
+def nearest_of_set(points: DataFrame, targets: DataFrame, key: str, columns: Sequence[str], name: str = "d", few: int = 1_000, reach: float | None = None) -> DataFrame:
+    """``key, d``: the distance of every point from the nearest target; no rows if there are no targets.
+
+    Up to ``few`` targets, which are counted, are broadcast. More are put into cubes of the size ``reach`` (by default from the
+    targets' extent, one target a cube on average): a point meets the 27 cubes around it, and is done once its nearest target is within
+    the reach; the others go on with four times the reach. Coordinates must not be missing.
+    """
+    t = targets.select(*[F.col(c).cast("double").alias(f"t_{c}") for c in columns])
+    t, n = materialise_counted(t, "targets")
+    far = F.sqrt(sum(((F.col(c) - F.col(f"t_{c}")) * (F.col(c) - F.col(f"t_{c}")) for c in columns), F.lit(0.0)))
+    left = points.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
+    if n <= few:
+        return left.join(F.broadcast(t)).groupBy(key).agg(F.min(far).alias(name))
+    if reach is None:
+        wide = t.agg(*[(F.max(f"t_{c}") - F.min(f"t_{c}")).alias(c) for c in columns]).first()
+        reach = max(max(wide) / n ** (1 / len(columns)), 1e-9)
+    found = Growing(points.sparkSession, "nearest-of-set")
+    left = materialise(left, "nearest-asking")
+    while True:
+        cube = lambda c, p="": F.floor(F.col(p + c) / F.lit(reach))  # noqa: B023, E731
+        near = t
+        for c in columns:
+            near = near.withColumn(f"b_{c}", F.explode(F.array(*[cube(c, "t_") + d for d in (-1, 0, 1)])))
+        asked = left.withColumns({f"b_{c}": cube(c) for c in columns})
+        best = asked.join(near, [f"b_{c}" for c in columns]).groupBy(key).agg(F.min(far).alias(name)).filter(F.col(name) <= reach)
+        found.append(best)
+        left, open_ = materialise_counted(left.join(found.part(-1), key, "left_anti"), "nearest-asking")
+        if not open_:
+            return found.read()
+        reach *= 4
 
 
 def _pack(column: pa.Array) -> np.ndarray:
@@ -83,7 +110,7 @@ def mutual_matches(a: DataFrame, b: DataFrame, group: str, key: str, vector: str
     """
 
     def blocked(df: DataFrame, mine: str, other: str, sizes: DataFrame) -> DataFrame:
-        j = df.select(F.col(group).alias("g"), F.col(key).alias("id"), F.col(vector).alias("v")).join(F.broadcast(sizes), "g", "left").fillna(1, ["na", "nb"])
+        j = lookup_join(df.select(F.col(group).alias("g"), F.col(key).alias("id"), F.col(vector).alias("v")), sizes, "g", "left").fillna(1, ["na", "nb"])
         place = F.pmod(F.xxhash64("id"), F.col("n" + mine)).cast("int").alias(mine)
         return j.select("g", "id", "v", place, F.explode(F.sequence(F.lit(0), F.col("n" + other) - 1)).alias(other))
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyweave.operators.keyed import lookup_join
-from skyweave.session import forget, materialise
+from skyweave.operators.ordering import with_index
+from skyweave.session import Growing, forget, materialise, materialise_counted
 
 
 def both_ways(edges: DataFrame, a: str = "i", b: str = "j", *more: str) -> DataFrame:
@@ -55,26 +56,41 @@ def component_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
-def hops(edges: DataFrame, sources: DataFrame, a: str = "i", b: str = "j", max_rounds: int = 10_000) -> DataFrame:
+def hops(edges: DataFrame, sources: DataFrame, a: str = "i", b: str = "j", max_hops: int | None = None) -> DataFrame:
     """``node, hops``: steps from the nearest of ``sources`` (column ``node``); nodes out of reach are absent.
 
+    The search ends when no new node is met, or after ``max_hops`` steps where the caller gives a bound.
     Edges lead both ways, so a neighbour of a layer lies in it, in the one before or in the next.
     """
-    e = materialise(both_ways(edges, a, b).distinct(), "hops-edges")
-    rows = e.count()
-    front = materialise(sources.select(F.col("node").cast("long").alias("node")).filter("node is not null").distinct().withColumn("hops", F.lit(0)), "hops")
-    layers = [front]
-    for k in range(1, max_rounds + 1):
-        reached = lookup_join(e, front.select(F.col("node").alias("src")).withColumn("on", F.lit(1)), "src", "inner", rows).select(F.col("dst").alias("node")).distinct()
-        known = layers[-1].unionByName(layers[-2]) if k > 1 else layers[-1]
-        front = materialise(reached.join(known.select("node"), "node", "left_anti").withColumn("hops", F.lit(k)), "hops")
-        if front.isEmpty():
-            seen = layers[0]
-            for layer in layers[1:]:
-                seen = seen.unionByName(layer)
-            return seen
-        layers.append(front)
-    raise RuntimeError(f"hops are not settled after {max_rounds} rounds")
+    e, rows = materialise_counted(both_ways(edges, a, b).distinct(), "hops-edges")
+    layers = Growing(edges.sparkSession, "hops")
+    start = sources.select(F.col("node").cast("long").alias("node")).filter("node is not null").distinct().withColumn("hops", F.lit(0))
+    layers.append(start)
+    k = 0
+    while max_hops is None or k < max_hops:
+        k += 1
+        reached = lookup_join(e, layers.part(-1).select(F.col("node").alias("src")).withColumn("on", F.lit(1)), "src", "inner", rows).select(F.col("dst").alias("node")).distinct()
+        known = layers.part(-1).unionByName(layers.part(-2)) if k > 1 else layers.part(-1)
+        if not layers.append(reached.join(known.select("node"), "node", "left_anti").withColumn("hops", F.lit(k))):
+            break
+    return layers.read()
+
+
+def hop_pairs(edges: DataFrame, sources: DataFrame, a: str = "i", b: str = "j", max_hops: int | None = None) -> DataFrame:
+    """``source, node, hops``: steps from every single source to every node that it reaches; all searches run together."""
+    e, rows = materialise_counted(both_ways(edges, a, b).distinct(), "hops-edges")
+    layers = Growing(edges.sparkSession, "hop-pairs")
+    start = sources.select(F.col("node").cast("long").alias("source")).filter("source is not null").distinct()
+    layers.append(start.select("source", F.col("source").alias("node"), F.lit(0).alias("hops")))
+    k = 0
+    while max_hops is None or k < max_hops:
+        k += 1
+        front = layers.part(-1).select("source", F.col("node").alias("src"))
+        reached = front.join(e, "src").select("source", F.col("dst").alias("node")).distinct()
+        known = layers.part(-1).unionByName(layers.part(-2)) if k > 1 else layers.part(-1)
+        if not layers.append(reached.join(known.select("source", "node"), ["source", "node"], "left_anti").withColumn("hops", F.lit(k))):
+            break
+    return layers.read()
 
 
 def balls(edges: DataFrame, sources: DataFrame, size: int, a: str = "i", b: str = "j") -> DataFrame:
@@ -82,30 +98,25 @@ def balls(edges: DataFrame, sources: DataFrame, size: int, a: str = "i", b: str
 
     Of a layer the nodes with more links into the ball so far come first, equal ones by smaller id. All balls grow together; a
     ball holds at most ``size`` rows, and a layer is cut to ``size`` rows per ball in every map partition before it is ranked.
+    A node of a layer has links into the layer before it only, so just the edges of the last layer of balls that are not yet full are joined.
     """
     if size < 1:
         raise ValueError("size must be at least 1")
     e = materialise(both_ways(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b).distinct(), "balls-edges")
     start = sources.select(F.col("node").cast("long").alias("node")).filter("node is not null").distinct()
-    seen = materialise(start.select(F.col("node").alias("source"), "node", F.lit(0).alias("layer"), F.lit(0).alias("place")), "balls")
+    seen = Growing(edges.sparkSession, "balls")
+    seen.append(start.select(F.col("node").alias("source"), "node", F.lit(0).alias("layer"), F.lit(0).alias("place")))
     for layer in range(1, size):
-        front = seen.filter(F.col("layer") == layer - 1).select("source", F.col("node").alias("src"))
-        reached = front.join(e, "src").select("source", F.col("dst").alias("node")).distinct()
-        fresh = reached.join(seen.select("source", "node"), ["source", "node"], "left_anti")
-        # links are counted from the ball's side, which is small: every member's neighbours that are new
-        links = seen.select("source", F.col("node").alias("src")).join(e, "src").groupBy("source", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("links"))
-        held = seen.groupBy("source").agg(F.count(F.lit(1)).cast("int").alias("held")).filter(F.col("held") < size)
+        held = seen.read().groupBy("source").agg(F.count(F.lit(1)).cast("int").alias("held")).filter(F.col("held") < size)
+        front = seen.part(-1).join(held, "source", "left_semi").select("source", F.col("node").alias("src"))
+        links = front.join(e, "src").groupBy("source", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("links"))
+        links = links.join(seen.read().select("source", "node"), ["source", "node"], "left_anti")
         w = Window.partitionBy("source").orderBy(F.desc("links"), "node")
-        ranked = fresh.join(links, ["source", "node"]).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= size)
+        ranked = links.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= size)
         ranked = ranked.join(held, "source").filter(F.col("r") <= size - F.col("held"))
-        added = materialise(ranked.select("source", "node", F.lit(layer).alias("layer"), (F.col("held") + F.col("r") - 1).alias("place")), "balls-layer")
-        if added.isEmpty():
+        if not seen.append(ranked.select("source", "node", F.lit(layer).alias("layer"), (F.col("held") + F.col("r") - 1).alias("place"))):
             break
-        after = materialise(seen.unionByName(added), "balls")
-        forget(seen)
-        forget(added)
-        seen = after
-    return seen
+    return seen.read()
 
 
 def max_product_paths(edges: DataFrame, sources: DataFrame, weight: str, a: str = "i", b: str = "j", min_weight: float = 0.2, max_rounds: int = 1000) -> DataFrame:
@@ -134,46 +145,40 @@ def max_product_paths(edges: DataFrame, sources: DataFrame, weight: str, a: str
     raise RuntimeError(f"paths are not settled after {max_rounds} rounds")
 
 
-def walk_back(paths: DataFrame, targets: DataFrame, max_steps: int = 10_000) -> DataFrame:
-    """``target, step, node``: the nodes from the source (step 0) to each target, by following parents."""
-    parents = paths.select("node", "parent")
-    at = targets.select(F.col("node").cast("long").alias("node")).distinct().join(paths.select("node", "hops", "parent"), "node").select(F.col("node").alias("target"), F.col("hops").alias("step"), "node", "parent")
-    at = materialise(at, "walk")
-    found = at.select("target", "step", "node")
-    for _ in range(max_steps):
-        step = at.filter("parent is not null").select("target", (F.col("step") - 1).alias("step"), F.col("parent").alias("node"))
-        at = materialise(lookup_join(step, parents, "node", "inner").select("target", "step", "node", "parent"), "walk")
-        if at.isEmpty():
-            return found
-        found = found.unionByName(at.select("target", "step", "node"))
+def walk_back(paths: DataFrame, targets: DataFrame) -> DataFrame:
+    """``target, step, node``: the nodes from the source (step 0) to each target, by following parents. Parents that form a cycle raise an error."""
+    parents, longest = materialise_counted(paths.select("node", "parent"), "walk-parents")
+    found = Growing(paths.sparkSession, "walk")
+    found.append(targets.select(F.col("node").cast("long").alias("node")).distinct().join(paths.select("node", "hops", "parent"), "node").select(F.col("node").alias("target"), F.col("hops").alias("step"), "node", "parent"))
+    for _ in range(longest + 1):
+        step = found.part(-1).filter("parent is not null").select("target", (F.col("step") - 1).alias("step"), F.col("parent").alias("node"))
+        step = materialise(step, "walk-step")
+        if not found.append(lookup_join(step, parents, "node", "inner").select("target", "step", "node", "parent")):
+            return found.read().select("target", "step", "node")
     raise RuntimeError("the parents form a cycle")
 
 
-def spanning_forest(edges: DataFrame, weight: str, a: str = "i", b: str = "j", max_rounds: int = 60) -> DataFrame:
+def spanning_forest(edges: DataFrame, weight: str, a: str = "i", b: str = "j") -> DataFrame:
     """``i, j, weight``: the maximum spanning forest; equal weights go by smaller i, then j.
 
-    In every round each component takes its strongest edge to another one (at least halving their number), and the
-    components that are then joined are relabelled.
+    In every round each component takes its strongest edge to another one, which at least halves the number of components with
+    edges to others, so the rounds end; the components that are then joined are relabelled.
     """
     e = materialise(edges.filter(F.col(a) != F.col(b)).select(F.least(a, b).cast("long").alias("i"), F.greatest(a, b).cast("long").alias("j"), F.col(weight).cast("double").alias("w")).groupBy("i", "j").agg(F.max("w").alias("w")), "forest-edges")
-    live = e.select("i", "j", "w", F.col("i").alias("ci"), F.col("j").alias("cj"))
-    tree = None
-    for _ in range(max_rounds):
+    live, n = materialise_counted(e.select("i", "j", "w", F.col("i").alias("ci"), F.col("j").alias("cj")), "forest-live")
+    tree = Growing(edges.sparkSession, "forest")
+    while True:
         sides = live.select(F.col("ci").alias("c"), "i", "j", "w", "ci", "cj").unionByName(live.select(F.col("cj").alias("c"), "i", "j", "w", "ci", "cj"))
         best = sides.groupBy("c").agg(F.max_by(F.struct("i", "j", "w", "ci", "cj"), F.struct("w", -F.col("i"), -F.col("j"))).alias("e")).select("e.*").distinct()
-        best = materialise(best, "forest-best")
-        if best.isEmpty():
+        if not tree.append(best):
             break
-        chosen = best.select("i", "j", "w")
-        tree = chosen if tree is None else tree.unionByName(chosen)
-        label = components(best.select("ci", "cj"), "ci", "cj")
-        n = live.count()
+        label = components(tree.part(-1).select("ci", "cj"), "ci", "cj")
         moved = lookup_join(live, label.select(F.col("node").alias("ci"), F.col("component").alias("ni")), "ci", "left", n)
         moved = lookup_join(moved, label.select(F.col("node").alias("cj"), F.col("component").alias("nj")), "cj", "left", n)
-        live = materialise(moved.select("i", "j", "w", F.coalesce("ni", "ci").alias("ci"), F.coalesce("nj", "cj").alias("cj")).filter("ci != cj"), "forest-live")
-    if tree is None:
-        return e.limit(0).withColumnRenamed("w", "weight")
-    return tree.distinct().withColumnRenamed("w", "weight")
+        after, n = materialise_counted(moved.select("i", "j", "w", F.coalesce("ni", "ci").alias("ci"), F.coalesce("nj", "cj").alias("cj")).filter("ci != cj"), "forest-live")
+        forget(live)
+        live = after
+    return tree.read().select("i", "j", F.col("w").alias("weight")).distinct()
 
 
 def place_by_rank(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -197,20 +202,25 @@ def build_tracks(matches: DataFrame, img_a: str, feat_a: str, img_b: str, feat_b
     return lookup_join(rows, good.select("track_id"), "track_id", "inner")
 
 
-def farthest_seeds_cover(hop_sets: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """``round, ball``: greedy cover; ``hop_sets`` has ``ball, node``. Each round takes the ball with most uncovered nodes, smaller id first.
+def farthest_seeds_cover(hop_sets: DataFrame) -> DataFrame:
+    """``round, ball, gain``: greedy cover; ``hop_sets`` has ``ball, node``. The ball with most uncovered nodes comes first, smaller id on ties.
 
-    The counting is distributed; one row per round comes to the driver.
+    A ball whose gain no ball that shares an uncovered node with it exceeds is taken at once, together with all others of the
+    kind: its gain cannot change before the one-by-one choice reaches it. So a round takes many balls and the result is the same.
     """
-    left = materialise(hop_sets.select("ball", "node").distinct(), "cover")
-    taken = []
-    for k in range(max_rounds):
-        best = left.groupBy("ball").agg(F.count(F.lit(1)).alias("gain")).orderBy(F.desc("gain"), "ball").first()
-        if best is None:
+    left = materialise(hop_sets.select("ball", "node").filter("ball is not null and node is not null").distinct(), "cover")
+    taken = Growing(hop_sets.sparkSession, "cover-taken")
+    while True:
+        gain = materialise(left.groupBy("ball").agg(F.count(F.lit(1)).alias("gain")), "cover-gain")
+        rated, rows = materialise_counted(lookup_join(left, gain, "ball", "inner"), "cover-rated")
+        best = rated.groupBy("node").agg(F.max_by("ball", F.struct("gain", -F.col("ball"))).alias("best"))
+        wins = lookup_join(rated, best, "node", "inner", rows).groupBy("ball").agg(F.max("gain").alias("gain"), F.min(F.col("ball") == F.col("best")).alias("first")).filter("first").select("ball", "gain")
+        if not taken.append(wins):
             break
-        taken.append((k, best.ball, best.gain))
-        covered = left.filter(F.col("ball") == best.ball).select("node")
-        after = materialise(left.join(covered, "node", "left_anti").select("ball", "node"), "cover")
+        covered = left.join(taken.part(-1).select("ball"), "ball", "left_semi").select("node").distinct()
+        after = materialise(left.join(covered, "node", "left_anti"), "cover")
         forget(left)
+        forget(rated)
         left = after
-    return hop_sets.sparkSession.createDataFrame(taken, "round int, ball long, gain long")
+    order = [F.col("gain").desc(), F.col("ball")]
+    return with_index(taken.read(), order, "round").select(F.col("round").cast("int").alias("round"), "ball", "gain")

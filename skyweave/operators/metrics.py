@@ -98,8 +98,10 @@ def cdf_area(df: DataFrame, error: str, top: float, points: int = 1000) -> DataF
 
 
 def spread_stats(df: DataFrame, group: str, value: str) -> DataFrame:
-    """``group, n, mean, median, std, var, p90`` (population deviation and variance), however large a group is."""
+    """``group, n, mean, median, std, var, p90`` (population deviation and variance), however large a group is; NULL is a group too."""
     v = F.col(value)
     sums = df.groupBy(group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.var_pop(v).alias("var"))
-    both = grouped_quantile(df, group, value, 0.5, "median").join(grouped_quantile(df, group, value, 0.9, "p90"), group)
-    return sums.join(both, group, "left").select(group, "n", "mean", "median", "std", "var", "p90")
+    side = lambda q, name: grouped_quantile(df, group, value, q, name).withColumnRenamed(group, f"__{name}")
+    m, p = side(0.5, "median"), side(0.9, "p90")
+    both = sums.join(m, sums[group].eqNullSafe(m["__median"]), "left").join(p, sums[group].eqNullSafe(p["__p90"]), "left")
+    return both.select(group, "n", "mean", "median", "std", "var", "p90")

@@ -1,33 +1,58 @@
 """Positions and running totals over a global order, without a window over one partition.
 
-Rows are range-partitioned by the order and written once. Each partition is summed, the sums of the partitions
-before it (one row per partition) are added, and the rest is local to the partition.
+Rows are range-partitioned by the order, summed locally and written once. The sums of the partitions before it
+(one row per partition) are then added to each partition.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyweave.operators.keyed import lookup_join
 from skyweave.session import materialise, shuffle_width
 
 
+def _local_totals(names: Sequence[str], columns: Sequence[str]):
+    """Running sums within one sorted partition, carried from batch to batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = [0] * len(names)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = [batch.column(len(columns) + k) for k in range(len(names))]
+            totals = []
+            for k, v in enumerate(values):
+                total = np.cumsum(np.asarray(v)) + carried[k]
+                carried[k] = total[-1]
+                totals.append(pa.array(total))
+            part = batch.column(len(columns) + len(names))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *totals, *values, part], [*columns, *names, *[f"__v_{n}" for n in names], "__part"])
+
+    return run
+
+
 def running_totals(df: DataFrame, order: Sequence[Column], totals: dict[str, Column]) -> DataFrame:
     """``df`` with inclusive running totals in the given order, which must tell all rows apart.
 
-    ``totals`` maps new column names to the expressions that are summed; a NULL adds nothing.
+    ``totals`` maps new column names to the whole numbers that are summed; a NULL adds nothing. Rows are shuffled once.
     """
     names = list(totals)
-    ranged = df.withColumns({f"__v_{n}": F.coalesce(e, F.lit(0)) for n, e in totals.items()}).repartitionByRange(shuffle_width(df.sparkSession), *order)
-    ranged = materialise(ranged.withColumn("__part", F.spark_partition_id()), "ordering")
-    sums = ranged.groupBy("__part").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names])
+    ranged = df.withColumns({f"__v_{n}": F.coalesce(e, F.lit(0)) for n, e in totals.items()})
+    ranged = ranged.withColumns({f"__v_{n}": F.col(f"__v_{n}").cast("long") for n in names})
+    ranged = ranged.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    fields = [*df.schema.fields, *[T.StructField(n, T.LongType()) for n in [*names, *[f"__v_{n}" for n in names]]], T.StructField("__part", T.IntegerType())]
+    summed = materialise(ranged.mapInArrow(_local_totals(names, df.columns), T.StructType(fields)), "ordering")
+    sums = summed.groupBy("__part").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names])
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = sums.select("__part", *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in names])
-    local = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = ranged.join(F.broadcast(offsets), "__part").withColumns({n: F.sum(f"__v_{n}").over(local) + F.col(f"__o_{n}") for n in names})
+    out = summed.join(F.broadcast(offsets), "__part").withColumns({n: F.col(n) + F.col(f"__o_{n}") for n in names})
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *names)
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyweave.operators.covis import shared_counts
 from skyweave.operators.keyed import present
+from skyweave.session import materialise
 
 
 def unordered(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -82,10 +84,16 @@ def outside(candidates: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def members_together(members: DataFrame, group: str, member: str) -> DataFrame:
-    """``i, j, groups``: in how many groups two members meet. Groups are capture batches, which are small by design."""
-    m = members.select(F.col(group).alias("g"), F.col(member).alias("m")).filter("g is not null and m is not null").distinct()
-    a, b = m.select("g", F.col("m").alias("i")), m.select("g", F.col("m").alias("j"))
-    return a.join(b, "g").filter("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("groups"))
+    """``i, j, groups``: in how many groups two members meet. Very large groups are cut into blocks (see :func:`shared_counts`)."""
+    return shared_counts(members, group, member).withColumnRenamed("shared", "groups")
+
+
+def met_among(pairs: DataFrame, members: DataFrame, group: str, member: str) -> DataFrame:
+    """Those of the pairs ``i, j`` that meet in some group: the pairs are looked up in the groups, not all pairs of a group listed."""
+    m = materialise(members.select(F.col(group).alias("g"), F.col(member).alias("m")).filter("g is not null and m is not null").distinct(), "members")
+    asked = pairs.select("i", "j").distinct()
+    first = asked.join(m.select(F.col("m").alias("i"), "g"), "i")
+    return first.join(m.select(F.col("m").alias("j"), "g"), ["j", "g"], "left_semi").select("i", "j").distinct()
 
 
 def conflicting(measured: Column, predicted: Column) -> Column:

@@ -126,18 +126,18 @@ def error_by_level(spark: SparkSession, sf: str) -> DataFrame:
     "floor(var_pop(cam_conf) * 1e6 + 0.5) / 1e6 AS var, floor(quantile_cont(cam_conf, 0.9) * 1e6 + 0.5) / 1e6 AS p90 FROM vw GROUP BY 1"
 )
 def group_stats(spark: SparkSession, sf: str) -> DataFrame:
-    s = spread_stats(views(spark, sf).filter("kind is not null").select("kind", "cam_conf"), "kind", "cam_conf")
+    s = spread_stats(views(spark, sf).select("kind", "cam_conf"), "kind", "cam_conf")
     return s.select("kind", "n", *[six(F.col(c)).alias(c) for c in ("mean", "median", "std", "var", "p90")])
 
 
-@book.query(f"WITH {VIEWS}, m AS (SELECT kind, median(cam_conf) AS med FROM vw GROUP BY 1) SELECT kind, floor(max(med) * 1e6 + 0.5) / 1e6 AS median, floor(median(abs(cam_conf - med)) * 1e6 + 0.5) / 1e6 AS mad FROM vw JOIN m USING (kind) GROUP BY 1")
+@book.query(f"WITH {VIEWS}, m AS (SELECT kind, median(cam_conf) AS med FROM vw GROUP BY 1) SELECT kind, floor(max(med) * 1e6 + 0.5) / 1e6 AS median, floor(median(abs(cam_conf - med)) * 1e6 + 0.5) / 1e6 AS mad FROM (SELECT vw.kind, cam_conf, med FROM vw JOIN m ON vw.kind IS NOT DISTINCT FROM m.kind) GROUP BY 1")
 def mad_by_group(spark: SparkSession, sf: str) -> DataFrame:
     """Median and median absolute deviation of the views' confidence by kind."""
-    v = views(spark, sf).filter("kind is not null").select("kind", "cam_conf")
-    m = materialise(grouped_quantile(v, "kind", "cam_conf", 0.5, "med"), "mad")
-    off = lookup_join(v, m, "kind", "inner").withColumn("off", F.abs(F.col("cam_conf") - F.col("med")))
-    mad = grouped_quantile(off, "kind", "off", 0.5, "mad")
-    return m.join(mad, "kind").select("kind", six(F.col("med")).alias("median"), six(F.col("mad")).alias("mad"))
+    v = views(spark, sf).select(F.struct("kind").alias("k"), "cam_conf")  # a missing kind is one too
+    m = materialise(grouped_quantile(v, "k", "cam_conf", 0.5, "med"), "mad")
+    off = lookup_join(v, m, "k", "inner").withColumn("off", F.abs(F.col("cam_conf") - F.col("med")))
+    mad = grouped_quantile(off, "k", "off", 0.5, "mad")
+    return m.join(mad, "k").select("k.kind", six(F.col("med")).alias("median"), six(F.col("mad")).alias("mad"))
 
 
 @book.query(f"WITH {MEASURED} SELECT batch_id, count(*) AS n, floor(quantile_cont(overlap, 0.1) * 1e6 + 0.5) / 1e6 AS p10, floor(quantile_cont(overlap, 0.5) * 1e6 + 0.5) / 1e6 AS p50, floor(quantile_cont(overlap, 0.9) * 1e6 + 0.5) / 1e6 AS p90 FROM me GROUP BY 1")

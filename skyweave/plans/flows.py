@@ -47,8 +47,8 @@ def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @book.query(
-    "SELECT image_id, other_id, CASE WHEN isnan(score) THEN NULL ELSE floor(CAST(score AS DOUBLE) * 1e6 + 0.5) / 1e6 END AS score FROM (SELECT *, row_number() OVER (PARTITION BY image_id, other_id ORDER BY updated_at DESC NULLS LAST, score DESC NULLS LAST) k "
-    "FROM camera_connections WHERE image_id <> other_id AND abs(coalesce(score, 0)) < 1e30) WHERE k = 1"
+    "SELECT image_id, other_id, CASE WHEN NOT isfinite(score) THEN NULL WHEN abs(score) < 1e9 THEN floor(CAST(score AS DOUBLE) * 1e6 + 0.5) / 1e6 ELSE CAST(score AS DOUBLE) END AS score FROM (SELECT *, row_number() OVER (PARTITION BY image_id, other_id ORDER BY updated_at DESC NULLS LAST, score DESC NULLS LAST) k "
+    "FROM camera_connections WHERE image_id <> other_id) WHERE k = 1"
 )
 def stream_upserts(spark: SparkSession, sf: str) -> DataFrame:
     """Entries written again, streamed: the latest wins; if its score is not finite, the score is missing."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyweave.functions.geo import ecef, enu
 from skyweave.functions.pose import angle_between_deg, centre, direction_angle_deg, multiply, quaternion_of_rotation, relative, rotation_of_gimbal, rotation_of_quaternion, transpose
 from skyweave.functions.vec import distance
-from skyweave.operators.cloud import median_cells, mutual_matches, voxel_counts, voxel_representative, voxel_size_for
+from skyweave.operators.cloud import median_cells, mutual_matches, nearest_of_set, voxel_counts, voxel_representative, voxel_size_for
 from skyweave.operators.estimators import SIMILARITY, mean_rotation, robust_similarity_fit, triangulate
 from skyweave.operators.keyed import latest
 from skyweave.operators.matching import sound_points
@@ -62,13 +62,10 @@ def camera_centres(spark: SparkSession, sf: str) -> DataFrame:
 
 @book.query(f"WITH {_ROT}, an AS (SELECT cx, cy, cz FROM ce WHERE image_id IN (SELECT image_id FROM anchor_images)) SELECT ce.image_id, {_m('min(sqrt(power(ce.cx - an.cx, 2) + power(ce.cy - an.cy, 2) + power(ce.cz - an.cz, 2)))', 'd')} FROM ce, an GROUP BY 1")
 def nearest_anchor(spark: SparkSession, sf: str) -> DataFrame:
-    """Distance of every camera from the nearest anchor; the anchors are a fixed list, refused above 1,000."""
-    p = poses(spark, sf)
-    anchors = p.join(table(spark, sf, "anchor_images").select("image_id"), "image_id", "left_semi").select("c").limit(1001).collect()
-    if len(anchors) > 1000:
-        raise ValueError("too many anchors")
-    listed = F.array(*[F.array(*[F.lit(x) for x in a.c]) for a in anchors])
-    return p.select("image_id", milli(F.array_min(F.transform(listed, lambda a: distance(F.col("c"), a)))).alias("d"))
+    """Distance of every camera from the nearest anchor."""
+    p = centre_points(spark, sf)
+    anchors = p.join(table(spark, sf, "anchor_images").select("image_id"), "image_id", "left_semi")
+    return nearest_of_set(p, anchors, "image_id", ["x", "y", "z"]).select("image_id", milli(F.col("d")).alias("d"))
 
 
 @book.query(f"WITH {_PLACES} SELECT name, {_m('n * cos(radians(lat)) * cos(radians(lon))', 'x')}, {_m('n * cos(radians(lat)) * sin(radians(lon))', 'y')}, {_m('n * (1 - 6.69437999014e-3) * sin(radians(lat))', 'z')} FROM (SELECT *, 6378137.0 / sqrt(1 - 6.69437999014e-3 * power(sin(radians(lat)), 2)) AS n FROM pl)")
@@ -81,8 +78,8 @@ _ECEF = "6378137.0 / sqrt(1 - 6.69437999014e-3 * power(sin(radians({la})), 2))"
 _XYZ = "{n} * cos(radians({la})) * cos(radians({lo})) AS {p}x, {n} * cos(radians({la})) * sin(radians({lo})) AS {p}y, {n} * (1 - 6.69437999014e-3) * sin(radians({la})) AS {p}z"
 _ENU = (
     _PLACES
-    + ", oo AS (SELECT seq, avg(lat) AS la0, avg(lon) AS lo0 FROM pl WHERE abs(lon) < 179 GROUP BY 1), "
-    + "xx AS (SELECT name, seq, la0, lo0, " + _XYZ.format(n="(" + _ECEF.format(la="lat") + ")", la="lat", lo="lon", p="a") + ", " + _XYZ.format(n="(" + _ECEF.format(la="la0") + ")", la="la0", lo="lo0", p="o") + " FROM pl JOIN oo USING (seq) WHERE abs(lon) < 179), "
+    + ", o1 AS (SELECT seq, arg_min(lon, name) AS lon1 FROM pl GROUP BY 1), oo AS (SELECT seq, avg(lat) AS la0, avg(lon + 360 * round((lon1 - lon) / 360)) AS lo0 FROM pl JOIN o1 USING (seq) GROUP BY 1), "
+    + "xx AS (SELECT name, seq, la0, lo0, " + _XYZ.format(n="(" + _ECEF.format(la="lat") + ")", la="lat", lo="lon", p="a") + ", " + _XYZ.format(n="(" + _ECEF.format(la="la0") + ")", la="la0", lo="lo0", p="o") + " FROM pl JOIN oo USING (seq)), "
     + "dd AS (SELECT name, seq, ax - ox AS dx, ay - oy AS dy, az - oz AS dz, sin(radians(la0)) AS sp, cos(radians(la0)) AS cp, sin(radians(lo0)) AS sl, cos(radians(lo0)) AS cl FROM xx)"
 )
 
@@ -209,12 +206,24 @@ def voxel_first(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("vx", "vy", "vz", "image_id")
 
 
-@book.query()
+_THINNING = f"""WITH RECURSIVE {_ROT}, h(k, lo, hi) AS (
+  SELECT 0, CAST(0.01 AS DOUBLE), CAST(10000 AS DOUBLE)
+  UNION ALL
+  SELECT k + 1, CASE WHEN n > most THEN size ELSE lo END, CASE WHEN n > most THEN hi ELSE size END FROM (
+    SELECT k, lo, hi, size, count(DISTINCT (floor(cx / size), floor(cy / size), floor(cz / size))) AS n, greatest(1, count(*) // 2) AS most
+    FROM (SELECT k, lo, hi, sqrt(lo * hi) AS size FROM h WHERE k < 20), ce GROUP BY 1, 2, 3, 4)),
+v AS (SELECT hi AS voxel FROM h WHERE k = 20)
+SELECT image_id, {_m('cx', 'x')}, {_m('cy', 'y')}, {_m('cz', 'z')}, floor(voxel * 1e6 + 0.5) / 1e6 AS voxel FROM (
+  SELECT *, row_number() OVER (PARTITION BY floor(cx / voxel), floor(cy / voxel), floor(cz / voxel) ORDER BY md5(CAST(image_id AS VARCHAR)), image_id) AS r FROM ce, v) WHERE r = 1"""
+
+
+@book.query(_THINNING)
 def voxel_thinning(spark: SparkSession, sf: str) -> DataFrame:
     """One camera per voxel, with the voxel size bisected so that at most half as many voxels as cameras remain."""
     points = materialise(centre_points(spark, sf), "thinning")
     size = voxel_size_for(points, ["x", "y", "z"], max(1, points.count() // 2), 0.01, 10_000.0)
-    return voxel_representative(points, "image_id", ["x", "y", "z"], size).select("image_id", "x", "y", "z", F.lit(size).alias("voxel"))
+    kept = voxel_representative(points, "image_id", ["x", "y", "z"], size)
+    return kept.select("image_id", *[milli(F.col(c)).alias(c) for c in "xyz"], six(F.lit(size)).alias("voxel"))
 
 
 _NEAR = f"""{_PLACES}, xe AS (SELECT name, lat, lon, {_XYZ.format(n="(" + _ECEF.format(la="lat") + ")", la="lat", lo="lon", p="")} FROM pl),
@@ -236,7 +245,16 @@ def position_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return n.groupBy(F.col("key").alias("name")).agg(milli(F.avg("dist_m")).alias("mean_m"), (F.avg("dist_m") > 30).alias("outlier"))
 
 
-@book.query()
+_CELLS = f"""WITH RECURSIVE {_ROT}, k(id, x, y, cell, n) AS (
+  SELECT image_id, cx, cy, CAST(1 AS BIGINT), (SELECT count(*) FROM ce) FROM ce
+  UNION ALL
+  SELECT id, x, y, cell, count(*) OVER (PARTITION BY cell) FROM (
+    SELECT id, x, y, cell * 2 + CASE WHEN row_number() OVER (PARTITION BY cell ORDER BY CASE WHEN by_x THEN x ELSE y END, id) - 1 >= n // 2 THEN 1 ELSE 0 END AS cell FROM (
+      SELECT *, max(x) OVER (PARTITION BY cell) - min(x) OVER (PARTITION BY cell) >= max(y) OVER (PARTITION BY cell) - min(y) OVER (PARTITION BY cell) AS by_x FROM k WHERE n > 64)))
+SELECT id AS image_id, cell FROM k WHERE n <= 64"""
+
+
+@book.query(_CELLS)
 def median_split_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of at most 64 cameras by recursive median splits of their ground positions."""
     return median_cells(centre_points(spark, sf), "image_id", "x", "y", 64)

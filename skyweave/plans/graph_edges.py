@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.operators.ordering import grouped_quantile, six
-from skyweave.operators.pairs import accumulate, conflicting, matching_edges, members_together, mutual_graph, outside, row_lift, symmetric_min, top_k, union_graph, unordered
+from skyweave.operators.pairs import accumulate, conflicting, matching_edges, members_together, met_among, mutual_graph, outside, row_lift, symmetric_min, top_k, union_graph, unordered
 from skyweave.plans.tables import MEASURED, PREDICTED, VIEWS, Book, measurements, predicted_pairs, predictions, table, views
 from skyweave.session import materialise
 
@@ -88,11 +88,21 @@ def unevaluated_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return outside(met, measurements(spark, sf)).select("i", "j")
 
 
+@book.query(
+    f"WITH {PREDICTED}, ca AS (SELECT DISTINCT least(image_id, other_id) AS i, greatest(image_id, other_id) AS j FROM camera_connections WHERE image_id <> other_id) "
+    "SELECT i, j FROM ca WHERE NOT EXISTS (SELECT 1 FROM pp WHERE pp.i = ca.i AND pp.j = ca.j)"
+)
+def unscored_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate pairs, here all that were ever listed, that have no usable score in either direction."""
+    candidates = unordered(table(spark, sf, "camera_connections"), "image_id", "other_id").select("i", "j").distinct()
+    return outside(candidates, predicted_pairs(spark, sf))
+
+
 @book.query(f"WITH {_TOGETHER}, {PREDICTED} SELECT i, j FROM pp WHERE score >= 0.15 AND NOT EXISTS (SELECT 1 FROM tg WHERE tg.i = pp.i AND tg.j = pp.j)")
 def missing_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs that are predicted to overlap and were never processed together."""
     promising = predicted_pairs(spark, sf).filter("score >= 0.15")
-    return outside(promising, members_together(views(spark, sf), "batch_id", "image_id")).select("i", "j")
+    return outside(promising, met_among(promising, views(spark, sf), "batch_id", "image_id")).select("i", "j")
 
 
 @book.query(f"WITH {MEASURED}, {PREDICTED} SELECT i, j FROM mp JOIN pp USING (i, j) WHERE (mean >= 0.2 AND score < 0.05) OR (mean < 0.05 AND score >= 0.3)")

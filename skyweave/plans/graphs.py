@@ -48,7 +48,11 @@ def seen_edges(spark: SparkSession, sf: str) -> DataFrame:
     return normalise(shared, points_per_image(obs), "overlap").select("i", "j", six(F.col("score")).alias("weight"))
 
 
-@book.query(f"WITH RECURSIVE {_SEEN}, h(node, d) AS (SELECT image_id, 0 FROM anchor_images UNION SELECT be.dst, h.d + 1 FROM h JOIN be ON be.src = h.node WHERE h.d < 6) SELECT CAST(node AS BIGINT) AS node, min(d) AS hops FROM h GROUP BY 1")
+#: steps from the nearest anchor, to the end of every chain
+_HOPS = "h(node, d) USING KEY (node) AS (SELECT image_id, 0 FROM (SELECT DISTINCT image_id FROM anchor_images) UNION SELECT be.dst, min(h.d) + 1 FROM h JOIN be ON be.src = h.node LEFT JOIN recurring.h AS k ON k.node = be.dst WHERE k.node IS NULL GROUP BY be.dst)"
+
+
+@book.query(f"WITH RECURSIVE {_SEEN}, {_HOPS} SELECT CAST(node AS BIGINT) AS node, d AS hops FROM h")
 def hop_distance(spark: SparkSession, sf: str) -> DataFrame:
     """Steps from the nearest anchor."""
     return hops(seen_edges(spark, sf), anchors(spark, sf))

@@ -17,10 +17,10 @@ from skyweave.operators.spatial import near_pairs
 from skyweave.plans.evaluation import JUDGED, judged_pairs
 from skyweave.plans.geometry import enu_places, gimbals, milli, posed_observations, poses, track_points
 from skyweave.plans.graph_edges import _LIFT
-from skyweave.plans.graphs import _REACH, _SEEN, anchors, overlap_edges, seen_edges
+from skyweave.plans.graphs import _HOPS, _REACH, _SEEN, anchors, overlap_edges, seen_edges
 from skyweave.plans.photos import photo_positions
 from skyweave.plans.sequences import places
-from skyweave.plans.tables import MEASURED, PREDICTED, SHARED, Book, measurements, observations, predicted_pairs, predictions
+from skyweave.plans.tables import MEASURED, OBS, POSED, PREDICTED, SHARED, Book, measurements, observations, predicted_pairs, predictions
 from skyweave.session import materialise
 
 book = Book()
@@ -47,8 +47,7 @@ def graph_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @book.query(
-    f"WITH RECURSIVE {_SEEN}, {PREDICTED}, {MEASURED}, h(node, d) AS (SELECT image_id, 0 FROM anchor_images UNION SELECT be.dst, h.d + 1 FROM h JOIN be ON be.src = h.node WHERE h.d < 6), hh AS (SELECT node, min(d) AS d FROM h GROUP BY 1), "
-    "x AS (SELECT abs(score - mean) AS e, hh.d AS d FROM pp JOIN mp USING (i, j) LEFT JOIN hh ON hh.node = i) "
+    f"WITH RECURSIVE {_SEEN}, {PREDICTED}, {MEASURED}, {_HOPS}, x AS (SELECT abs(score - mean) AS e, h.d AS d FROM pp JOIN mp USING (i, j) LEFT JOIN h ON h.node = i) "
     "SELECT CASE WHEN d IS NULL THEN 'none' WHEN d >= 3 THEN '3+' ELSE CAST(d AS VARCHAR) END AS hop_class, count(*) AS n, floor(avg(e) * 1e6 + 0.5) / 1e6 AS mae FROM x GROUP BY 1"
 )
 def error_by_hops(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,15 +148,15 @@ def ground_footprints(spark: SparkSession, sf: str) -> DataFrame:
     return footprint_overlap(cameras, near, 4000, 3000, 3000.0).select("i", "j", six(F.col("overlap")).alias("overlap"))
 
 
-@book.query()
+@book.query(f"WITH {POSED} SELECT image_id, CAST((row_number() OVER (ORDER BY md5(CAST(image_id AS VARCHAR)), image_id) - 1) // 64 AS BIGINT) AS batch FROM ps")
 def random_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Images dealt to batches of 64 in the order of a hash: the same in every run."""
     p = poses(spark, sf).select("image_id")
-    return with_index(p, [F.xxhash64("image_id"), F.col("image_id")]).select("image_id", F.floor(F.col("idx") / 64).alias("batch"))
+    return with_index(p, [F.md5(F.col("image_id").cast("string")), F.col("image_id")]).select("image_id", F.floor(F.col("idx") / 64).alias("batch"))
 
 
-@book.query()
+@book.query(f"WITH {OBS} SELECT p AS track_id FROM (SELECT DISTINCT p FROM o) ORDER BY md5(CAST(p AS VARCHAR)), p LIMIT 1000")
 def sampled_tracks(spark: SparkSession, sf: str) -> DataFrame:
     """A sample of 1,000 tracks, the same in every run."""
     t = observations(spark, sf).select(F.col("point_id").alias("track_id")).distinct()
-    return t.orderBy(F.xxhash64("track_id"), "track_id").limit(1000)
+    return t.orderBy(F.md5(F.col("track_id").cast("string")), "track_id").limit(1000)

@@ -12,7 +12,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,9 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_MARKED: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; all paths of an application lie in one folder, to be removed when it has ended."""
-    return f"{shared_dir(spark)}/skyweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    app = f"{shared_dir(spark)}/skyweave/{spark.sparkContext.applicationId}"
+    if app not in _MARKED:
+        _MARKED.add(app)
+        # the file system deletes the folder when the driver's JVM ends
+        folder = spark._jvm.org.apache.hadoop.fs.Path(app)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    return f"{app}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -45,6 +57,41 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return written
 
 
+def materialise_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """:func:`materialise`, and the number of rows, counted while they are written."""
+    seen = Observation()
+    written = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return written, seen.get["rows"]
+
+
+class Growing:
+    """A written table that rounds append to, so that a plan does not grow with the rounds."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self.parts, self.schema = spark, scratch_path(spark, label), 0, None
+
+    def append(self, df: DataFrame) -> int:
+        """Writes the rows and returns how many there were."""
+        seen = Observation()
+        self.schema = df.schema if self.schema is None else self.schema
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.path}/part={self.parts}")
+        self.parts += 1
+        return seen.get["rows"]
+
+    def part(self, k: int) -> DataFrame:
+        """The rows of one round; negative numbers count from the last."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/part={k % self.parts}")
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/part={k}" for k in range(self.parts)])
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that still have to be read from them are lost."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/skyweave/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table made by :func:`materialise` that no later step reads."""
     path = getattr(df, "_skyweave_path", None)

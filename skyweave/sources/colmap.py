@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyweave.functions.pose import intrinsics
 
 # Endings by which a line is taken for an image.
-IMAGE_ENDINGS = ("jpg", "jpeg", "png", "tif", "tiff", "bmp")
+IMAGE_ENDINGS = ("jpg", "jpeg", "png", "tif", "tiff")
 
 
 def data_lines(spark: SparkSession, path: str) -> DataFrame:
