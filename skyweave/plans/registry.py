@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from skyweave.plans import covisibility, evaluation, flows, geometry, graph_edges, graphs, photos, reports, sequences
+from skyweave.plans import covisibility, evaluation, files, flows, geometry, graph_edges, graphs, photos, reports, sequences
 
-_BOOKS = (covisibility.book, graph_edges.book, evaluation.book, graphs.book, photos.book, sequences.book, geometry.book, flows.book, reports.book)
+_BOOKS = (covisibility.book, graph_edges.book, evaluation.book, graphs.book, photos.book, sequences.book, geometry.book, flows.book, reports.book, files.book)
 
 
 def queries() -> dict[str, Callable]:

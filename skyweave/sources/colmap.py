@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.functions.pose import intrinsics
@@ -58,6 +58,26 @@ def write_cameras(cameras: DataFrame, path: str) -> None:
     cameras.select(F.concat_ws(" ", F.col("camera_id").cast("string"), "model", F.col("width").cast("string"), F.col("height").cast("string"), params).alias("value")).write.text(path)
 
 
+def write_points(points: DataFrame, path: str) -> None:
+    """One line per point: id, position, colour and an error of 0."""
+    columns = ["point_id", "x", "y", "z", "r", "g", "b"]
+    points.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns], F.lit("0")).alias("value")).write.text(path)
+
+
+def scene_name_of(path: Column) -> Column:
+    """:func:`scene_name` of a column; NULL for a path without a name."""
+    parts = F.filter(F.split(F.regexp_replace(path, r"\\", "/"), "/"), lambda x: x != "")
+    leaf = F.try_element_at(parts, F.lit(-1))
+    return F.when((F.size(parts) > 1) & (leaf == "colmap_metrics"), F.try_element_at(parts, F.lit(-2))).otherwise(leaf)
+
+
+def count_guard(points: DataFrame, ties: DataFrame) -> DataFrame:
+    """One row ``points, tie_points, source``: the points count only if there are as many as tie points; else only shared counts can be used."""
+    both = points.agg(F.count(F.lit(1)).alias("p")).crossJoin(F.broadcast(ties.agg(F.count(F.lit(1)).alias("tie_points"))))  # one row each
+    whole = F.col("p") == F.col("tie_points")
+    return both.select(F.when(whole, F.col("p")).alias("points"), "tie_points", F.when(whole, "points").otherwise("shared counts only").alias("source"))
+
+
 def scene_name(path: str) -> str:
     """The folder's name, or its parent's if it is the folder of the model itself."""
     parts = [p for p in path.replace("\\", "/").split("/") if p]

@@ -33,3 +33,9 @@ def load_round(spark: SparkSession, path: str, number: int | None = None) -> dic
     if entry is None:
         raise FileNotFoundError(f"{path} has no complete round {number}")
     return {name: spark.read.parquet(f"{path}/round={number}/{name}") for name in entry.tables}
+
+
+def same_images(saved: DataFrame, now: DataFrame, name: str) -> bool:
+    """Whether a saved round may be resumed: its images are those of now, in number and name."""
+    a, b = saved.select(name).filter(F.col(name).isNotNull()), now.select(name).filter(F.col(name).isNotNull())
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
