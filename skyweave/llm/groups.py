@@ -9,7 +9,8 @@ An edge is a row (u, v) with u > v. One round replaces the edges by
 
 Connectivity is kept by both. The edges no longer change once they are stars: then every node points at the
 smallest node of its component. Each half of a round is written to the shared folder, so lineage stays short and
-a lost executor repeats at most half a round; edges are counted while they are written.
+a lost executor repeats at most half a round; edges are counted while they are written. Groups that are finished are
+set apart as soon as most edges stay as they were, so the later rounds work on long chains only.
 """
 
 from __future__ import annotations
@@ -59,6 +60,23 @@ def _small_star(edges: DataFrame, heavy: int) -> DataFrame:
     return moved.unionByName(nodes.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct()
 
 
+def _set_apart(edges: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame]:
+    """The edges of finished groups, and those of all others.
+
+    A group is finished if its smallest node has no lower neighbour and every other node of it has one edge only.
+    """
+    asked = edges.select(F.col("v").alias("node"), F.lit(0).alias("lower"), F.lit(1).alias("one"))
+    nodes = edges.select(F.col("u").alias("node"), F.lit(1).alias("lower"), F.lit(0).alias("one")).unionByName(asked)
+    nodes = materialise(nodes.groupBy("node").agg(F.sum("lower").alias("lower"), F.sum("one").alias("n")), "groups-degrees")
+    # m says that a node is a leaf; only nodes with an edge downwards can be
+    leaves = nodes.filter("lower = 1 and n = 0").select("node", F.lit(1).cast("long").alias("m"), F.lit(0).alias("n"))
+    judged = edges.join(leaves.select(F.col("node").alias("u"), "m"), "u", "left").filter("m is null").select("v")
+    open_ = judged.unionByName(nodes.filter("lower > 0 and n > 0").select(F.col("node").alias("v"))).distinct()
+    asks = nodes.select("node", "n").join(open_.select(F.col("v").alias("node"), F.lit(1).cast("long").alias("m")), "node")
+    met = materialise(_meet(edges, materialise(asks, "groups-open"), "v", heavy), "groups-split")
+    return met.filter("m is null").select("u", "v"), met.filter("m is not null").select("u", "v")
+
+
 def connected_groups(pairs: DataFrame, a: str, b: str, *, max_rounds: int = 100) -> DataFrame:
     """One group identifier for all records that are linked directly or through others.
 
@@ -73,6 +91,7 @@ def connected_groups(pairs: DataFrame, a: str, b: str, *, max_rounds: int = 100)
     alone = ordered.filter("u = v").select("u")
     edges, held = _written(ordered.filter("u != v"), "groups-edges")
     done = held["rows"] == 0
+    finished = edges.limit(0)
     for _ in range(max_rounds if not done else 0):
         heavy = max(keyed.HEAVY_ROWS, held["rows"] // keyed.HEAVY_KEYS)
         large, seen = _written(_large_star(edges, heavy), "groups-large", moved=F.col("moved"))
@@ -84,8 +103,17 @@ def connected_groups(pairs: DataFrame, a: str, b: str, *, max_rounds: int = 100)
         forget(large)
         forget(edges)
         edges = small
+        if 2 * seen["moved"] < seen["rows"]:
+            # most edges stayed as they were: groups that are finished leave the rounds
+            apart, rest = _set_apart(edges, heavy)
+            finished = finished.unionByName(apart)
+            edges, held = _written(rest, "groups-edges")
+            done = held["rows"] == 0
+            if done:
+                break
     if not done:
         raise RuntimeError(f"groups are not settled after {max_rounds} rounds")
+    edges = edges.unionByName(finished)
     linked = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     only = alone.join(edges.select("u"), "u", "left_anti").join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
     return linked.unionByName(only.select(F.col("u").alias("node"), F.col("u").alias("component")))
