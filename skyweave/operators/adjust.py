@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from skyweave.operators.estimators import _batched
 from skyweave.operators.keyed import lookup_join
+from skyweave.operators.matching import filter_tracks, residuals
 from skyweave.session import forget, materialise
 
 
@@ -176,3 +177,25 @@ def bundle_adjust(obs: DataFrame, cameras: DataFrame, points: DataFrame, lens: L
         forget(cameras)
         points, cameras = moved, turned
     return cameras, points, lens, history
+
+
+def staged_adjustment(obs: DataFrame, cameras: DataFrame, points: DataFrame, lens: Lens, *, limits: tuple[float, ...] = (16.0, 8.0, 4.0), rounds: int = 3, huber: float = 4.0, intrinsics: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, Lens]:
+    """Cameras, points, the observations that are left, and the lens, after stages of filter, adjustment and filter.
+
+    In every stage observations off by the stage's limit or more, or behind their camera, go, and tracks that keep fewer than two.
+    Frames as in :func:`bundle_adjust`; points without observations leave.
+    """
+    left = materialise(obs.select("image", "track", "u", "v"), "staged-obs")
+
+    def kept(rows: DataFrame, cameras: DataFrame, points: DataFrame, lens: Lens, limit: float) -> DataFrame:
+        flat = points.select("track", *[F.get("x", F.lit(k)).alias(c) for k, c in enumerate("xyz")])
+        seen = lookup_join(rows, cameras.select("image", "r", "t"), "image", "inner")
+        good = filter_tracks(residuals(seen, flat, "track", "u", "v", lens.f, lens.f, lens.cx, lens.cy), "track", limit)
+        return materialise(good.select("image", "track", "u", "v"), "staged-obs")
+
+    for limit in limits:
+        left = kept(left, cameras, points, lens, limit)
+        cameras, points, lens, _ = bundle_adjust(left, cameras, points, lens, rounds=rounds, huber=huber, intrinsics=intrinsics)
+        left = kept(left, cameras, points, lens, limit)
+        points = points.join(left.select("track").distinct(), "track", "left_semi")
+    return cameras, materialise(points, "staged-points"), left, lens

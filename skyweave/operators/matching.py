@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.functions.pose import add, angle_between_deg, centre, direction_angle_deg, multiply, project, reprojection_error, rotate, rotate_back, transpose
-from skyweave.operators.estimators import ROTATION, _batched, nearest_rotation
+from skyweave.operators.estimators import ROTATION, _batched, mean_rotation, nearest_rotation
 from skyweave.operators.keyed import lookup_join
-from skyweave.session import forget, materialise
+from skyweave.operators.ordering import grouped_quantile
+from skyweave.session import forget, materialise, materialise_counted
 
 
 def residuals(obs: DataFrame, points: DataFrame, track: str, u: str, v: str, fx: float, fy: float, cx: float, cy: float, rotation: str = "r", translation: str = "t") -> DataFrame:
@@ -44,30 +45,47 @@ def sound_points(obs: DataFrame, points: DataFrame, track: str, u: str, v: str,
     return placed.join(to_one.unionByName(found).filter(F.col("__a") >= least_deg).select(track), track, "left_semi")
 
 
-def average_rotations(edges: DataFrame, start: DataFrame, rounds: int = 10, softness_deg: float = 3.0) -> DataFrame:
+def average_rotations(edges: DataFrame, start: DataFrame, *, sharp_rounds: int = 5, max_rounds: int = 60, softness_deg: float = 3.0, tolerance_deg: float = 0.02, align: float = 0.7) -> DataFrame:
     """``node, r``: rotations that agree best with relative ones.
 
     ``edges`` has ``i, j, rij`` with R_j = R_ij R_i; ``start`` has ``node, r``. In each round every node takes the weighted
     chordal mean of what its neighbours and their relative rotations imply, and of its own value, which damps the
-    round. Weights fall with the residual (Cauchy, ``softness_deg``). Only relative rotations are determined; a node
-    without edges keeps its value. A node receives nine sums, whatever its degree.
+    round. Weights fall with the residual: as its inverse (smoothed absolute error) for ``sharp_rounds``, then after Cauchy
+    (``softness_deg``). Rounds go on until no node turns by more than ``tolerance_deg``; if that takes more than ``max_rounds``, an error is
+    raised. Only relative rotations are determined, so the result is turned as a whole to the start, by the chordal mean
+    over the ``align`` share of nodes that agree best. A node without edges keeps its value. A node receives nine sums, whatever its degree.
     """
     there = edges.select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("rij").alias("m"))
     back = edges.select(F.col("j").alias("src"), F.col("i").alias("dst"), transpose(F.col("rij")).alias("m"))
-    both = materialise(there.unionByName(back), "rotations-edges")
-    rows = both.count()
-    at = materialise(start.select("node", "r"), "rotations")
-    for _ in range(rounds):
+    both, rows = materialise_counted(there.unionByName(back), "rotations-edges")
+    begun = materialise(start.select("node", "r"), "rotations-start")
+    at = begun
+    for k in range(max_rounds):
         told = lookup_join(both, at.select(F.col("node").alias("src"), F.col("r").alias("rs")), "src", "inner", rows).select("src", "dst", multiply(F.col("m"), F.col("rs")).alias("said"))
         met = lookup_join(told, at.select(F.col("node").alias("dst"), F.col("r").alias("rd")), "dst", "inner", rows)
         off = angle_between_deg(F.col("said"), F.col("rd")) / softness_deg
-        weighted = met.withColumn("w", 1 / (1 + off * off)).select(F.col("dst").alias("node"), "w", "said").unionByName(at.select("node", F.lit(1e-3).alias("w"), F.col("r").alias("said")))
+        weight = 1 / F.greatest(off, F.lit(1e-2)) if k < sharp_rounds else 1 / (1 + off * off)
+        weighted = met.withColumn("w", weight).select(F.col("dst").alias("node"), "w", "said").unionByName(at.select("node", F.lit(1e-3).alias("w"), F.col("r").alias("said")))
         sums = weighted.groupBy("node").agg(*[F.sum(F.get("said", F.lit(k)) * F.col("w")).alias(f"m{k}") for k in range(9)])
         new = _batched(sums, ["node"], [f"m{k}" for k in range(9)], ROTATION, lambda x: nearest_rotation(x.reshape(-1, 3, 3)).reshape(-1, 9))
-        after = materialise(new.select("node", F.array(*ROTATION).alias("r")), "rotations")
-        forget(at)
+        turned = new.select("node", F.array(*ROTATION).alias("r")).join(at.withColumnRenamed("r", "was"), "node").withColumn("step", angle_between_deg(F.col("r"), F.col("was")))
+        after = materialise(turned.select("node", "r", "step"), "rotations")
+        widest = after.agg(F.max("step")).first()[0]
+        if at is not begun:
+            forget(at)
         at = after
-    return at
+        if k >= sharp_rounds and (widest is None or widest <= tolerance_deg):
+            return _aligned(at, begun, align)
+    raise RuntimeError(f"rotations are not settled after {max_rounds} rounds")
+
+
+def _aligned(found: DataFrame, start: DataFrame, share: float) -> DataFrame:
+    """``found`` turned as a whole towards ``start``: first over all nodes, then over the share of them that agree best."""
+    both = materialise(found.select("node", "r").join(start.withColumnRenamed("r", "to"), "node").select("node", "r", multiply(transpose(F.col("r")), F.col("to")).alias("turn"), F.lit(1).alias("all")), "rotations-turns")
+    turn = lambda rows: mean_rotation(rows, "all", "turn").select("all", F.array(*ROTATION).alias("g"))
+    near = materialise(lookup_join(both, turn(both), "all", "inner").withColumn("e", angle_between_deg(F.col("turn"), F.col("g"))), "rotations-near")
+    best = near.join(F.broadcast(grouped_quantile(near, "all", "e", share, "cut")), "all").filter(F.col("e") <= F.col("cut"))
+    return lookup_join(both, turn(best), "all", "inner").select("node", multiply(F.col("r"), F.col("g")).alias("r"))
 
 
 def footprint_overlap(cameras: DataFrame, pairs: DataFrame, width: int, height: int, f: float, grid: int = 8) -> DataFrame:

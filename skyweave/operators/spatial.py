@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyweave.functions.geo import ecef_array, latitude_reach, longitude_reach
+from skyweave.operators.keyed import lookup_join
 from skyweave.session import materialise, shuffle_width
 
 #: Points of a group, and at most as many strips and longitude cuts per strip, whatever the input.
@@ -74,10 +75,13 @@ def latitude_strips(points: DataFrame, rows: int, *, cell_rows: int = CELL_ROWS)
     wanted = int(min(MAX_STRIPS, max(shuffle_width(points.sparkSession), -(-rows // cell_rows))))
     probs = [k / wanted for k in range(1, wanted)]
     lat = np.unique(points.approxQuantile("lat", probs, 0.1 / wanted)) if probs and rows else np.zeros(0)
-    index = F.lit(0)
-    if len(lat):
-        index = F.aggregate(F.lit(lat.tolist()), F.lit(0), lambda n, bound: n + (bound <= F.col("lat")).cast("int"))
-    cuts = points.groupBy(index.alias("strip")).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("lon", [k / MAX_CUTS for k in range(1, MAX_CUTS)], 1000).alias("lons"))
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(lat, np.asarray(batch.column(0)), side="right").astype(np.int32)), batch.column(1)], ["strip", "lon"])
+
+    placed = points.select("lat", "lon").mapInArrow(strip, "strip int, lon double")
+    cuts = placed.groupBy("strip").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("lon", [k / MAX_CUTS for k in range(1, MAX_CUTS)], 1000).alias("lons"))
     lon = [np.zeros(0)] * (len(lat) + 1)
     for r in cuts.collect():
         blocks = min(MAX_CUTS, -(-r.n // cell_rows))
@@ -202,6 +206,20 @@ def near_pairs(df: DataFrame, key: str, lat: str, lon: str, radius_m: float, *,
     return swept.groupBy("key_a", "key_b").agg(F.min("dist_m").alias("dist_m"))
 
 
+def near_places(df: DataFrame, key: str, lat: str, lon: str, radius_m: float, *, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """:func:`near_pairs` without listing the pairs of one place: ``members(place, key)`` and ``pairs(place_a, place_b, dist_m)``.
+
+    All keys at exactly one position are a place, named by its smallest key; ``pairs`` are places at most ``radius_m`` apart. A million
+    photos at one spot are a million rows of ``members``, not half a billion pairs. Two keys are near if they share a place or theirs are a pair.
+    """
+    points = materialise(positions(df, key, lat, lon).withColumn("key", F.col("key").cast("string")), "spatial-points")
+    named = materialise(points.groupBy("lat", "lon").agg(F.min("key").alias("least")).withColumn("place", F.concat_ws("@", F.col("least"), F.hex(F.xxhash64("lat", "lon")))), "spatial-places")
+    at = F.struct("lat", "lon")
+    members = lookup_join(points.withColumn("at", at), named.select(at.alias("at"), "place"), "at", "inner").select("place", "key")
+    pairs = near_pairs(named, "place", "lat", "lon", radius_m, cell_rows=cell_rows)
+    return members, pairs.select(F.col("key_a").alias("place_a"), F.col("key_b").alias("place_b"), "dist_m")
+
+
 def _inside(points: pa.Table, regions: pa.Table) -> pa.Table:
     lat, lon = np.asarray(points.column("lat")), np.asarray(points.column("lon"))
     order = np.argsort(lat, kind="stable")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.operators.keyed import latest
-from skyweave.operators.spatial import containing_regions, near_pairs
+from skyweave.operators.spatial import containing_regions, near_pairs, near_places
 from skyweave.plans.tables import Book
 
 book = Book()
@@ -51,4 +51,13 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.unionByName(inside.select(F.lit("zone").alias("kind"), F.col("key").alias("key_a"), F.col("region").alias("key_b")))
 
 
-
+@book.query(
+    P5_FOUND.split("c AS (SELECT zone_code")[0].rstrip().rstrip(",") + """, q AS (SELECT lat, lon, min(name) AS n, count(*) AS photos, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z FROM e GROUP BY lat, lon)
+SELECT (SELECT count(*) FROM q) AS places, (SELECT CAST(sum(photos) AS BIGINT) FROM q) AS photos, count(*) AS pairs FROM q a JOIN q b ON (a.n, a.lat, a.lon) < (b.n, b.lat, b.lon)
+  AND abs(a.lat - b.lat) < 0.001 AND sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) <= 5"""
+)
+def near_place_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Photos by place, and the pairs of places at most 5 m apart."""
+    members, pairs = near_places(photo_positions(spark, sf), "name", "lat", "lon", 5.0)
+    a = members.agg(F.countDistinct("place").alias("places"), F.count(F.lit(1)).alias("photos"))
+    return a.crossJoin(F.broadcast(pairs.agg(F.count(F.lit(1)).alias("pairs"))))  # one row each

@@ -9,7 +9,7 @@ from skyweave.functions.pose import rotation_of_gimbal
 from skyweave.operators.covis import shared_counts
 from skyweave.operators.estimators import fit_residuals, robust_similarity_fit
 from skyweave.operators.graph import component_sizes, components, hops
-from skyweave.operators.matching import average_rotations, filter_tracks, footprint_overlap, relative_from_absolute, residuals
+from skyweave.operators.matching import filter_tracks, footprint_overlap, residuals
 from skyweave.operators.metrics import row_metrics
 from skyweave.operators.ordering import grouped_quantile, six, with_index
 from skyweave.operators.pairs import accumulate, row_lift
@@ -126,17 +126,6 @@ def alignment_errors(spark: SparkSession, sf: str) -> DataFrame:
     return sums.join(median, "seq").select("seq", "n", six(F.col("median")).alias("median"), "rms", "within_5")
 
 
-@book.query()
-def averaged_rotations(spark: SparkSession, sf: str) -> DataFrame:
-    """Rotations averaged over the measured pairs, from the relative rotations of the poses."""
-    p = poses(spark, sf).select("image_id", "r")
-    pairs = measurements(spark, sf).select("i", "j").distinct()
-    both = pairs.join(p.select(F.col("image_id").alias("i"), F.col("r").alias("ri")), "i").join(p.select(F.col("image_id").alias("j"), F.col("r").alias("rj")), "j")
-    edges = both.select("i", "j", relative_from_absolute(F.col("ri"), F.col("rj")).alias("rij"))
-    found = average_rotations(edges, p.select(F.col("image_id").alias("node"), "r"), rounds=3)
-    return found.select("node", *[milli(F.get("r", F.lit(k))).alias(f"r{k}") for k in range(9)])
-
-
 @book.query()
 def ground_footprints(spark: SparkSession, sf: str) -> DataFrame:
     """Ground overlap of photos at most 15 m apart, from position, height and gimbal."""
