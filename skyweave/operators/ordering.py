@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyweave.operators.keyed import lookup_join
-from skyweave.session import materialise, shuffle_width
+from skyweave.session import materialise, materialise_counted, shuffle_width
 
 
 def _local_totals(names: Sequence[str], columns: Sequence[str]):
@@ -71,7 +71,7 @@ def positions_in_group(df: DataFrame, group: str, order: Sequence[Column], name:
 
     The global order (group, then ``order``) must tell all rows apart; a NULL group is a group of its own.
     """
-    numbered = materialise(with_index(df, [F.col(group).asc_nulls_first(), *order], "__g"), "positions")
+    numbered = with_index(df, [F.col(group).asc_nulls_first(), *order], "__g")
     sizes = numbered.groupBy(group).agg(F.min("__g").alias("__first"), F.count(F.lit(1)).alias(size))
     key = F.struct(F.col(group))
     placed = lookup_join(numbered.withColumn("__k", key), sizes.select(key.alias("__k"), "__first", size), "__k", "inner")
@@ -84,12 +84,11 @@ def grouped_quantile(df: DataFrame, group: str, value: str, q: float, name: str
     Values are counted first, so equal ones travel once, and ordered across partitions: no task holds a whole group.
     """
     rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    per = materialise(rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")), "quantile-values")
+    per, distinct = materialise_counted(rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")), "quantile-values")
     run = running_totals(per, [F.col("g").asc_nulls_first(), F.col("v")], {"upto": F.col("n")})
-    run = materialise(run, "quantile-totals")
     sizes = run.groupBy("g").agg(F.max("upto").alias("last"), F.sum("n").alias("size"))
     key = F.struct("g").alias("k")
-    both = lookup_join(run.withColumn("k", F.struct("g")), sizes.select(key, "last", "size"), "k", "inner")
+    both = lookup_join(run.withColumn("k", F.struct("g")), sizes.select(key, "last", "size"), "k", "inner", distinct)
     high = F.col("upto") - (F.col("last") - F.col("size"))  # ranks (high - n, high] of the group hold this value
     at = (F.col("size") - 1) * F.lit(float(q))
     low_rank, high_rank = F.floor(at) + 1, F.ceil(at) + 1
