@@ -55,3 +55,9 @@ def longitude_reach(lat: np.ndarray, radius_m: float) -> np.ndarray:
     axis = WGS84_A / np.sqrt(1 - WGS84_E2 * np.sin(worst) ** 2) * np.cos(worst)
     ratio = np.where(2 * axis > radius_m, radius_m / np.maximum(2 * axis, 1e-9), 1.0)
     return np.where(ratio < 1.0, np.degrees(2 * np.arcsin(np.minimum(ratio, 1.0))) * (1 + 1e-9) + 1e-12, 180.0)
+
+
+def noise(key: Column, sigma: float, seed: int) -> Column:
+    """Normal noise that depends on a key and a seed alone, so that it is the same however the rows are spread (Box and Muller)."""
+    part = lambda k: (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(k)), F.lit(1 << 52)).cast("double") + 1) / float(1 << 52)
+    return F.lit(sigma) * F.sqrt(-2 * F.log(part(0))) * F.cos(2 * np.pi * part(1))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from skyweave.plans import covisibility, evaluation, files, fits, flows, geometry, graph_edges, graphs, photos, reports, scenes, sequences
+from skyweave.plans import covisibility, evaluation, files, fits, flows, geometry, graph_edges, graphs, photos, reports, scenes, selections, sequences
 
-_BOOKS = (covisibility.book, graph_edges.book, evaluation.book, graphs.book, photos.book, sequences.book, geometry.book, flows.book, reports.book, files.book, scenes.book, fits.book)
+_BOOKS = (covisibility.book, graph_edges.book, evaluation.book, graphs.book, photos.book, sequences.book, geometry.book, flows.book, reports.book, files.book, scenes.book, fits.book, selections.book)
 
 
 def queries() -> dict[str, Callable]:
