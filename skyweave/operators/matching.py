@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.functions.pose import add, angle_between_deg, centre, direction_angle_deg, multiply, project, reprojection_error, rotate, rotate_back, transpose
+from skyweave.functions.pose import add, angle_between_deg, centre, direction_angle_deg, multiply, project, reprojection_error, transpose
 from skyweave.operators.estimators import ROTATION, _batched, mean_rotation, nearest_rotation
 from skyweave.operators.keyed import lookup_join
 from skyweave.operators.ordering import grouped_quantile
@@ -88,27 +92,46 @@ def _aligned(found: DataFrame, start: DataFrame, share: float) -> DataFrame:
     return lookup_join(both, turn(best), "all", "inner").select("node", multiply(F.col("r"), F.col("g")).alias("r"))
 
 
-def footprint_overlap(cameras: DataFrame, pairs: DataFrame, width: int, height: int, f: float, grid: int = 8) -> DataFrame:
+def _footprint_share(width: int, height: int, f: float, grid: int):
+    """Of batches of camera pairs the share of the first one's ground grid that the second one sees."""
+    place = (np.arange(grid) + 0.5) / grid
+    a, b = np.meshgrid((place * width - width / 2) / f, (place * height - height / 2) / f, indexing="ij")
+    pixels = np.column_stack([a.ravel(), b.ravel(), np.ones(grid * grid)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            stack = lambda c, width: np.asarray(batch.column(c).flatten()).reshape(-1, width)
+            r, c, ro, co = stack("r", 9).reshape(-1, 3, 3), stack("c", 3), stack("ro", 9).reshape(-1, 3, 3), stack("co", 3)
+            share = np.empty(batch.num_rows)
+            for at in range(0, batch.num_rows, 256):
+                k = slice(at, at + 256)
+                d = np.einsum("nji,pj->npi", r[k], pixels)
+                down = d[:, :, 2]
+                hit = down < -1e-9
+                ground = c[k, None, :] + np.where(hit, -c[k, None, 2] / np.where(hit, down, -1.0), 0.0)[:, :, None] * d
+                p = np.einsum("nij,npj->npi", ro[k], ground - co[k, None, :])
+                z = p[:, :, 2]
+                ahead = hit & (z > 1e-9)
+                deep = np.where(ahead, z, 1.0)
+                u, v = p[:, :, 0] * f / deep + width / 2, p[:, :, 1] * f / deep + height / 2
+                share[k] = (ahead & (u >= 0) & (u < width) & (v >= 0) & (v < height)).mean(1)
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("other"), pa.array(share)], ["name", "other", "share"])
+
+    return run
+
+
+def footprint_overlap(cameras: DataFrame, pairs: DataFrame, width: int, height: int, f: float, grid: int = 24) -> DataFrame:
     """``i, j, overlap``: the smaller of both directions of the share of a camera's ground grid that the other one sees.
 
-    ``cameras`` has ``name, r, c`` (world-to-camera rotation and centre above the plane z = 0); ``pairs`` has ``i, j``.
+    ``cameras`` has ``name, r, c`` (world-to-camera rotation and centre above the plane z = 0); ``pairs`` has ``i, j``, the candidates.
     Grid rays that do not meet the ground count as unseen. "Sees" is half-open: 0 <= u < width, 0 <= v < height.
     """
-    half = F.array(*[F.lit((k + 0.5) / grid) for k in range(grid)])
-    rays = cameras.select("name", "r", "c", F.explode(half).alias("a")).withColumn("b", F.explode(half))
-    d = rotate_back(F.col("r"), F.array((F.col("a") * width - width / 2) / f, (F.col("b") * height - height / 2) / f, F.lit(1.0)))
-    rays = rays.withColumn("d", d)
-    down = F.get("d", F.lit(2))
-    reach = F.when(down < -1e-9, -F.get("c", F.lit(2)) / down)
-    ground = rays.select("name", F.array(*[F.get("c", F.lit(k)) + reach * F.get("d", F.lit(k)) for k in range(3)]).alias("g"), reach.isNotNull().alias("hit"))
     both = pairs.select(F.col("i").alias("name"), F.col("j").alias("other")).unionByName(pairs.select(F.col("j").alias("name"), F.col("i").alias("other")))
-    seen = both.join(cameras.select(F.col("name").alias("other"), F.col("r").alias("ro"), F.col("c").alias("co")), "other").join(ground, "name")
-    local = rotate(F.col("ro"), F.array(*[F.get("g", F.lit(k)) - F.get("co", F.lit(k)) for k in range(3)]))
-    seen = seen.withColumn("p", local)
-    z = F.get("p", F.lit(2))
-    u, v = (F.get("p", F.lit(0)) * f / z + width / 2), (F.get("p", F.lit(1)) * f / z + height / 2)
-    inside = F.coalesce(F.col("hit") & (z > 1e-9) & (u >= 0) & (u < width) & (v >= 0) & (v < height), F.lit(False))
-    share = seen.groupBy("name", "other").agg(F.avg(inside.cast("double")).alias("share"))
+    met = both.join(cameras.select(F.col("name").alias("other"), F.col("r").alias("ro"), F.col("c").alias("co")), "other").join(cameras.select("name", "r", "c"), "name")
+    kind = dict(cameras.dtypes)["name"]
+    share = met.select("name", "other", "r", "c", "ro", "co").mapInArrow(_footprint_share(width, height, f, grid), f"name {kind}, other {kind}, share double")
     return share.groupBy(F.least("name", "other").alias("i"), F.greatest("name", "other").alias("j")).agg(F.min("share").alias("overlap"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyweave.functions.geo import ecef, enu
 from skyweave.functions.pose import angle_between_deg, centre, direction_angle_deg, multiply, quaternion_of_rotation, relative, rotation_of_gimbal, rotation_of_quaternion, transpose
-from skyweave.functions.vec import distance
+from skyweave.functions.vec import distance, norm
 from skyweave.operators.cloud import median_cells, mutual_matches, nearest_of_set, voxel_counts, voxel_representative, voxel_size_for
 from skyweave.operators.estimators import SIMILARITY, mean_rotation, robust_similarity_fit, triangulate
 from skyweave.operators.keyed import latest
@@ -23,6 +23,7 @@ from skyweave.session import materialise
 book = Book()
 
 milli = lambda c: F.floor(c * 1e3 + 0.5) / 1e3
+cents = lambda c: F.floor(c * 1e2 + 0.5) / 1e2
 
 
 def poses(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,9 +140,40 @@ def pair_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("i", "j", milli(distance("ci", "cj")).alias("baseline"))
 
 
-@book.query()
+_GIMBALS = _GIMBAL + """, gr AS (SELECT name, cos(radians(yaw)) AS r0, -sin(radians(yaw)) AS r1, 0.0 AS r2, sin(radians(yaw)) * sin(radians(pitch)) AS r3, cos(radians(yaw)) * sin(radians(pitch)) AS r4, -cos(radians(pitch)) AS r5,
+ sin(radians(yaw)) * cos(radians(pitch)) AS r6, cos(radians(yaw)) * cos(radians(pitch)) AS r7, sin(radians(pitch)) AS r8 FROM gg)"""
+_LOCAL = _ENU + ", en AS (SELECT name, seq, cl * dy - sl * dx AS e, cp * dz - sp * (cl * dx + sl * dy) AS n, cp * (cl * dx + sl * dy) + sp * dz AS u FROM dd)"
+
+
+def _pose_sql(source: str, out: str) -> str:
+    """Relative rotation and shift of the pairs of ``source``, which has rotations a0.. and b0.. and shifts at0.. and bt0..."""
+    r = [" + ".join(f"b{3 * i + k} * a{3 * j + k}" for k in range(3)) for i in range(3) for j in range(3)]
+    turned = f"SELECT *, {', '.join(f'{x} AS m{k}' for k, x in enumerate(r))} FROM {source}"
+    return f"SELECT i, j, {', '.join(f'm{k} AS {out}{k}' for k in range(9))}, " + ", ".join(f"bt{i} - ({' + '.join(f'm{3 * i + k} * at{k}' for k in range(3))}) AS {out}t{i}" for i in range(3)) + f" FROM ({turned})"
+
+
+def _sides(left: str, columns: list[str], shift: list[str]) -> str:
+    one = lambda side, name: ", ".join(f"{side}.{c} AS {name}{k}" for k, c in enumerate(columns)) + ", " + ", ".join(f"{side}.{c} AS {name}t{k}" for k, c in enumerate(shift))
+    return f"(SELECT mp.i, mp.j, {one('x', 'a')}, {one('y', 'b')} FROM mp JOIN {left} x ON x.image_id = mp.i JOIN {left} y ON y.image_id = mp.j)"
+
+
+_R = [f"r{k}" for k in range(9)]
+_TB = ", ".join(f"-(gr.r{3 * k} * e + gr.r{3 * k + 1} * n + gr.r{3 * k + 2} * u) AS tb{k}" for k in range(3))
+_POSE_ERRORS = (
+    f"WITH {_ROT}, {_LOCAL}, {_GIMBALS}, {MEASURED}, bb AS (SELECT ro.image_id, ro.r0 AS w0, ro.r1 AS w1, ro.r2 AS w2, ro.r3 AS w3, ro.r4 AS w4, ro.r5 AS w5, ro.r6 AS w6, ro.r7 AS w7, ro.r8 AS w8, tx, ty, tz, {', '.join(f'gr.r{k} AS g{k}' for k in range(9))}, {_TB} FROM ro JOIN en USING (name) JOIN gr USING (name)), "
+    f"p1 AS ({_pose_sql(_sides('bb', [f'w{k}' for k in range(9)], ['tx', 'ty', 'tz']), 'u')}), p2 AS ({_pose_sql(_sides('bb', [f'g{k}' for k in range(9)], ['tb0', 'tb1', 'tb2']), 'v')}) "
+    f"SELECT i, j, floor(degrees(acos(greatest(-1, least(1, ({' + '.join(f'u{k} * v{k}' for k in range(9))} - 1) / 2)))) * 1e2 + 0.5) / 1e2 AS rotation_deg, "
+    f"CASE WHEN least({' + '.join(f'ut{k} * ut{k}' for k in range(3))}, {' + '.join(f'vt{k} * vt{k}' for k in range(3))}) < 1e-6 THEN -1.0 ELSE "
+    f"floor(degrees(acos(greatest(-1, least(1, ({' + '.join(f'ut{k} * vt{k}' for k in range(3))}) / (sqrt({' + '.join(f'ut{k} * ut{k}' for k in range(3))}) * sqrt({' + '.join(f'vt{k} * vt{k}' for k in range(3))}) + 1e-12))))) * 1e2 + 0.5) / 1e2 END AS direction_deg FROM p1 JOIN p2 USING (i, j)"
+)
+
+
+@book.query(_POSE_ERRORS)
 def relative_pose_errors(spark: SparkSession, sf: str) -> DataFrame:
-    """Rotation and translation-direction errors of the poses against those of position and gimbal, over measured pairs."""
+    """Rotation and translation-direction errors of the poses against those of position and gimbal, over measured pairs.
+
+    Two cameras at one place have no direction between them: -1.
+    """
     a = poses(spark, sf).select("image_id", "name", "r", "t")
     b = enu_places(spark, sf).join(gimbals(spark, sf), "name").withColumn("rb", rotation_of_gimbal(F.col("yaw"), F.col("pitch")))
     b = b.select("name", "rb", F.transform(F.array(*[sum((F.get("rb", F.lit(3 * i + k)) * F.col(c) for k, c in enumerate("enu")), F.lit(0.0)) for i in range(3)]), lambda x: -x).alias("tb"))
@@ -150,7 +182,7 @@ def relative_pose_errors(spark: SparkSession, sf: str) -> DataFrame:
     both = measurements(spark, sf).select("i", "j").distinct().join(side("i"), "i").join(side("j"), "j")
     r1, t1 = relative(F.col("r_i"), F.col("t_i"), F.col("r_j"), F.col("t_j"))
     r2, t2 = relative(F.col("rb_i"), F.col("tb_i"), F.col("rb_j"), F.col("tb_j"))
-    return both.select("i", "j", r1.alias("r1"), t1.alias("t1"), r2.alias("r2"), t2.alias("t2")).select("i", "j", six(angle_between_deg(F.col("r1"), F.col("r2"))).alias("rotation_deg"), six(direction_angle_deg(F.col("t1"), F.col("t2"))).alias("direction_deg"))
+    return both.select("i", "j", r1.alias("r1"), t1.alias("t1"), r2.alias("r2"), t2.alias("t2")).select("i", "j", cents(angle_between_deg(F.col("r1"), F.col("r2"))).alias("rotation_deg"), F.when(F.least(norm("t1"), norm("t2")) < 1e-3, -1.0).otherwise(cents(direction_angle_deg(F.col("t1"), F.col("t2")))).alias("direction_deg"))
 
 
 @book.query()

@@ -15,7 +15,7 @@ from skyweave.operators.ordering import grouped_quantile, six, with_index
 from skyweave.operators.pairs import accumulate, row_lift
 from skyweave.operators.spatial import near_pairs
 from skyweave.plans.evaluation import JUDGED, judged_pairs
-from skyweave.plans.geometry import enu_places, gimbals, milli, posed_observations, poses, track_points
+from skyweave.plans.geometry import _ECEF, _GIMBALS, _LOCAL, _XYZ, enu_places, gimbals, milli, posed_observations, poses, track_points
 from skyweave.plans.graph_edges import _LIFT
 from skyweave.plans.graphs import _HOPS, _REACH, _SEEN, anchors, overlap_edges, seen_edges
 from skyweave.plans.photos import photo_positions
@@ -126,7 +126,21 @@ def alignment_errors(spark: SparkSession, sf: str) -> DataFrame:
     return sums.join(median, "seq").select("seq", "n", six(F.col("median")).alias("median"), "rms", "within_5")
 
 
-@book.query()
+_FOOTPRINTS = (
+    f"WITH {_LOCAL}, {_GIMBALS}, al AS (SELECT name, alt FROM (SELECT regexp_extract(names, '[^/\\\\]*$') AS name, lla[3] AS alt, row_number() OVER (PARTITION BY regexp_extract(names, '[^/\\\\]*$') ORDER BY received_at DESC NULLS LAST, lla[1] DESC NULLS LAST, lla[2] DESC NULLS LAST, lla[3] DESC NULLS LAST) AS k FROM gps WHERE names IS NOT NULL) WHERE k = 1 AND alt > 1 AND NOT isnan(alt)), "
+    f"cm AS (SELECT name, e AS cx, n AS cy, alt AS cz, gr.* EXCLUDE (name) FROM en JOIN al USING (name) JOIN gr USING (name)), "
+    f"xe AS (SELECT name, lat, {_XYZ.format(n='(' + _ECEF.format(la='lat') + ')', la='lat', lo='lon', p='')} FROM pl), "
+    "nr AS (SELECT a.name, b.name AS other FROM xe a JOIN xe b ON a.name <> b.name AND abs(a.lat - b.lat) < 0.001 AND sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) <= 15), "
+    "gd AS (SELECT ((k + 0.5) / 24 * 4000 - 2000) / 3000 AS a, ((l + 0.5) / 24 * 3000 - 1500) / 3000 AS b FROM (SELECT unnest(generate_series(0, 23)) AS k), (SELECT unnest(generate_series(0, 23)) AS l)), "
+    "ra AS (SELECT name, cx, cy, cz, r0 * a + r3 * b + r6 AS dx, r1 * a + r4 * b + r7 AS dy, r2 * a + r5 * b + r8 AS dz FROM cm, gd), "
+    "gp AS (SELECT name, dz < -1e-9 AS hit, CASE WHEN dz < -1e-9 THEN cx - cz / dz * dx END AS gx, CASE WHEN dz < -1e-9 THEN cy - cz / dz * dy END AS gy FROM ra), "
+    "pj AS (SELECT nr.name, nr.other, hit, o.r0 * (gx - o.cx) + o.r1 * (gy - o.cy) + o.r2 * (0 - o.cz) AS p0, o.r3 * (gx - o.cx) + o.r4 * (gy - o.cy) + o.r5 * (0 - o.cz) AS p1, o.r6 * (gx - o.cx) + o.r7 * (gy - o.cy) + o.r8 * (0 - o.cz) AS p2 FROM nr JOIN gp ON gp.name = nr.name JOIN cm o ON o.name = nr.other), "
+    "sh AS (SELECT name, other, count(*) FILTER (hit AND p2 > 1e-9 AND p0 * 3000 / p2 + 2000 >= 0 AND p0 * 3000 / p2 + 2000 < 4000 AND p1 * 3000 / p2 + 1500 >= 0 AND p1 * 3000 / p2 + 1500 < 3000) / count(*) AS s FROM pj GROUP BY 1, 2) "
+    "SELECT least(name, other) AS i, greatest(name, other) AS j, floor(min(s) * 1e6 + 0.5) / 1e6 AS overlap FROM sh GROUP BY 1, 2"
+)
+
+
+@book.query(_FOOTPRINTS)
 def ground_footprints(spark: SparkSession, sf: str) -> DataFrame:
     """Ground overlap of photos at most 15 m apart, from position, height and gimbal."""
     alt = photo_positions(spark, sf).filter("alt is not null and not isnan(alt) and alt > 1").select("name", "alt")
