@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyweave.functions.pose import angle_between_deg, apply_similarity, centre, invert_similarity, move_pose, multiply, project, relative, rotation_of_vector
+from skyweave.functions.pose import angle_between_deg, apply_similarity, centre, invert_similarity, move_pose, multiply, project, rotation_of_vector
 from skyweave.operators.adjust import Lens, bundle_adjust, staged_adjustment
-from skyweave.operators.estimators import ROTATION, SIMILARITY, flight_offsets, line_fit, mean_rotation, robust_similarity_fit, triangulate
+from skyweave.operators.epipolar import relative_poses
+from skyweave.operators.estimators import ROTATION, flight_offsets, line_fit, mean_rotation, robust_similarity_fit, triangulate
 from skyweave.operators.frames import fit_from_cameras, fit_gps_gimbal, merge_by_positions, merge_frames, place_images
 from skyweave.operators.keyed import lookup_join
 from skyweave.operators.matching import average_rotations, relative_from_absolute, sound_points
-from skyweave.operators.ordering import six
+
 from skyweave.plans.geometry import _ROT, _m, milli, poses
 from skyweave.plans.scenes import _PIXEL, _RAYS, FOCAL, H, W, _world, ray_observations, ray_points
 from skyweave.plans.tables import MEASURED, VIEWS, Book, measurements, table, views
@@ -212,3 +213,30 @@ def planted_flight_offsets(spark: SparkSession, sf: str) -> DataFrame:
     off = (F.length("flight") * 7 + F.ascii(F.substring("flight", -1, 1)) * 3) % 13
     rows = g.select("flight", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("cluster"), off.cast("double").alias("off")).withColumn("v", F.col("off") + 10 * F.col("cluster"))
     return flight_offsets(rows, "cluster", "flight", "v").select("flight", F.round("offset", 0).alias("offset_m"))
+
+
+_TWO = f"""{_RAYS}, {MEASURED}, vw AS (SELECT DISTINCT obs_img, track_id FROM se WHERE qz > 1),
+mt AS (SELECT mp.i, mp.j, vw.track_id FROM mp JOIN vw ON vw.obs_img = mp.i JOIN pt USING (track_id) JOIN ro b ON b.image_id = mp.j JOIN ro a ON a.image_id = mp.i JOIN ce ca ON ca.image_id = mp.i JOIN ce cb ON cb.image_id = mp.j
+  WHERE b.r6 * px + b.r7 * py + b.r8 * pz + b.tz > 1 AND power(ca.cx - cb.cx, 2) + power(ca.cy - cb.cy, 2) + power(ca.cz - cb.cz, 2) > 1)"""
+
+
+@book.query(
+    f"WITH {_TWO}, n AS (SELECT i, j, count(*) AS n, count(*) FILTER (track_id % 9 <> 0) AS good FROM mt GROUP BY 1, 2 HAVING count(*) FILTER (track_id % 9 <> 0) >= 30) SELECT i, j, n, floor(degrees(acos(greatest(-1, least(1, ({' + '.join(f'a.r{k} * b.r{k}' for k in range(9))} - 1) / 2)))) * 10 + 0.5) / 10 AS angle "
+    "FROM n JOIN ro a ON a.image_id = i JOIN ro b ON b.image_id = j"
+)
+def two_view_rotations(spark: SparkSession, sf: str) -> DataFrame:
+    """The turn between the cameras of measured pairs, from matches of which every ninth is wrong; pairs with 30 right ones and cameras apart."""
+    exact, points = exact_observations(spark, sf)
+    p = materialise(poses(spark, sf).select("image_id", "r", "t", "c"), "two-view-poses")
+    pairs = measurements(spark, sf).select("i", "j").distinct().join(p.select(F.col("image_id").alias("i"), F.col("c").alias("ci")), "i").join(p.select(F.col("image_id").alias("j"), F.col("r").alias("rj"), F.col("t").alias("tj"), F.col("c").alias("cj")), "j")
+    apart = sum(((F.get("ci", F.lit(k)) - F.get("cj", F.lit(k))) * (F.get("ci", F.lit(k)) - F.get("cj", F.lit(k))) for k in range(3)), F.lit(0.0))
+    first = exact.groupBy(F.col("obs_img").alias("i"), "track_id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    met = pairs.filter(apart > 1).select("i", "j", "rj", "tj").join(first, "i").join(points.withColumnRenamed("x", "p"), "track_id")
+    met = met.withColumn("q", project(F.col("rj"), F.col("tj"), F.col("p"), F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(0.0))).filter(F.col("q.z") > 1)
+    wrong = F.when(F.col("track_id") % 9 == 0, 0.2 + (F.col("track_id") % 7) / 10).otherwise(0.0)
+    rows = met.select((F.shiftleft(F.col("i").cast("long"), 32) + F.col("j")).alias("pair"), ((F.col("x") - W / 2) / FOCAL).alias("x1"), ((F.col("y") - H / 2) / FOCAL).alias("y1"), (F.col("q.u") + wrong).alias("x2"), (F.col("q.v") - wrong).alias("y2"), (F.col("track_id") % 9 != 0).alias("good"))
+    rows = materialise(rows, "two-view-matches")
+    enough = rows.groupBy("pair").agg(F.count_if("good").alias("good")).filter("good >= 30").select("pair")
+    found = relative_poses(lookup_join(rows.drop("good"), enough, "pair", "inner"), "pair", threshold=1e-4)
+    same = F.array(*[F.lit(float(k in (0, 4, 8))) for k in range(9)])
+    return found.select(F.shiftright("pair", 32).cast("int").alias("i"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("j"), "n", (F.floor(angle_between_deg(F.col("r"), same) * 10 + 0.5) / 10).alias("angle"))
