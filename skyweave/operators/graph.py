@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from skyweave.operators.keyed import lookup_join
@@ -26,29 +26,43 @@ def both_ways(edges: DataFrame, a: str = "i", b: str = "j", *more: str) -> DataF
 def components(edges: DataFrame, a: str = "i", b: str = "j", nodes: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
     """``node, component``: connected nodes share the smallest id of their component.
 
-    Labels spread to neighbours, then every label is replaced by the label of the node that it names, which halves the
-    remaining distance. ``nodes`` (column ``node``) adds nodes without edges.
+    In every round each node hooks onto its smallest neighbour, if that is smaller; the trees that arise are flattened by doubling, and
+    the edges are drawn between their roots. Roots and edges get fewer by a factor from round to round. ``nodes`` (column ``node``) adds nodes
+    without edges. Edges of a node with itself, or without one of their ends, are left out.
     """
-    e = materialise(both_ways(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b).distinct(), "components-edges")
-    rows = e.count()
-    known = e.select(F.col("src").alias("node"))
+    known = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    left, rows = materialise_counted(known.filter(F.col(a) != F.col(b)).select(F.least(a, b).cast("long").alias("i"), F.greatest(a, b).cast("long").alias("j")).distinct(), "components-edges")
+    first, levels = left, []
+    while rows:
+        if len(levels) == max_rounds:
+            raise RuntimeError(f"components are not settled after {max_rounds} rounds")
+        ends = left.select(F.col("i").alias("node"), F.col("i").alias("up")).unionByName(left.select(F.col("j").alias("node"), F.col("i").alias("up")))
+        up, n = materialise_counted(ends.groupBy("node").agg(F.min("up").alias("up")), "components-up")
+        while True:
+            seen = Observation()
+            jumped = lookup_join(up, up.select(F.col("node").alias("up"), F.col("up").alias("further")), "up", "inner", n)
+            moved = F.coalesce(F.sum((F.col("further") != F.col("up")).cast("long")), F.lit(0))
+            after = materialise(jumped.observe(seen, moved.alias("moved")).select("node", F.col("further").alias("up")), "components-up")
+            forget(up)
+            up = after
+            if not seen.get["moved"]:
+                break
+        levels.append(up)
+        drawn = lookup_join(left, up.select(F.col("node").alias("i"), F.col("up").alias("a")), "i", "inner", rows)
+        drawn = lookup_join(drawn, up.select(F.col("node").alias("j"), F.col("up").alias("b")), "j", "inner", rows).filter("a != b")
+        after, rows = materialise_counted(drawn.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct(), "components-edges")
+        if left is not first:
+            forget(left)
+        left = after
+    every = first.select(F.col("i").alias("node")).unionByName(first.select(F.col("j").alias("node")))
     if nodes is not None:
-        known = known.unionByName(nodes.select(F.col("node").cast("long").alias("node")).filter("node is not null"))
-    labels = materialise(known.distinct().withColumn("label", F.col("node")), "components-labels")
-    n = labels.count()
-    for _ in range(max_rounds):
-        spread = lookup_join(e, labels.select(F.col("node").alias("src"), "label"), "src", "inner", rows).select(F.col("dst").alias("node"), "label")
-        least = spread.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
-        least = materialise(least, "components-least")
-        jumped = lookup_join(least, least.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "inner", n)
-        after = materialise(jumped.select("node", F.col("further").alias("label")), "components-labels")
-        changed = after.join(labels.withColumnRenamed("label", "was"), "node").filter("label != was").limit(1).count()
-        forget(least)
-        forget(labels)
-        labels = after
-        if not changed:
-            return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"components are not settled after {max_rounds} rounds")
+        every = every.unionByName(nodes.select(F.col("node").cast("long").alias("node")).filter("node is not null"))
+    label = every.distinct().withColumn("component", F.col("node"))
+    for up in levels:
+        label, n = materialise_counted(label, "components-labels")
+        met = lookup_join(label, up.select(F.col("node").alias("component"), "up"), "component", "left", n)
+        label = met.select("node", F.coalesce("up", "component").alias("component"))
+    return materialise(label, "components-labels")
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:
