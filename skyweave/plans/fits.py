@@ -41,7 +41,7 @@ def planted_similarity(spark: SparkSession, sf: str) -> DataFrame:
     far = F.when(F.col("image_id") % 11 == 0, 500.0).otherwise(0.0)
     flat = p.select("grp", *[F.get("c", F.lit(k)).alias(f"a{k}") for k in range(3)], (F.get("d", F.lit(0)) + far).alias("b0"), *[F.get("d", F.lit(k)).alias(f"b{k}") for k in (1, 2)])
     n = flat.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    fit = robust_similarity_fit(flat, "grp", ["a0", "a1", "a2"], ["b0", "b1", "b2"], rounds=3)
+    fit = robust_similarity_fit(flat, "grp", ["a0", "a1", "a2"], ["b0", "b1", "b2"], rounds=2)
     m = fit.select("grp", F.struct("s", F.array(*ROTATION).alias("r"), F.array("t0", "t1", "t2").alias("t")).alias("m"))
     return n.join(m, "grp").select("grp", "n", *_shown("m"))
 
@@ -77,7 +77,7 @@ def planted_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters placed by measured positions alone."""
     c = _two_frames(spark, sf)
     members = c.select(F.col("grp").alias("cluster"), F.col("image_id").alias("image"), F.col("rs").alias("r"), F.col("cs").alias("c"))
-    found = merge_by_positions(members, c.select(F.col("image_id").alias("image"), F.col("cd").alias("g")), rounds=3)
+    found = merge_by_positions(members, c.select(F.col("image_id").alias("image"), F.col("cd").alias("g")), rounds=2)
     return found.select(F.col("cluster").cast("int").alias("grp"), "n", *_shown("m"))
 
 

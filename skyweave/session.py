@@ -10,6 +10,7 @@ from __future__ import annotations
 import pathlib
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -108,14 +109,19 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 _SHIPPED: set[str] = set()
+_SHIPPING = threading.Lock()
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that tasks can import it wherever they run."""
     app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
+    with _SHIPPING:
+        if app not in _SHIPPED:
+            _ship(spark)
+            _SHIPPED.add(app)
+
+
+def _ship(spark: SparkSession) -> None:
     root = pathlib.Path(__file__).resolve().parent
     archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-ship-')}/{root.name}", "zip", root.parent, root.name)
     spark.sparkContext.addPyFile(archive)
-    _SHIPPED.add(app)
