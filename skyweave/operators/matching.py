@@ -69,8 +69,10 @@ def average_rotations(edges: DataFrame, start: DataFrame, *, sharp_rounds: int =
         met = lookup_join(told, at.select(F.col("node").alias("dst"), F.col("r").alias("rd")), "dst", "inner", rows)
         off = angle_between_deg(F.col("said"), F.col("rd")) / softness_deg
         weight = 1 / F.greatest(off, F.lit(1e-2)) if k < sharp_rounds else 1 / (1 + off * off)
-        weighted = met.withColumn("w", weight).select(F.col("dst").alias("node"), "w", "said").unionByName(at.select("node", F.lit(1e-3).alias("w"), F.col("r").alias("said")))
-        sums = weighted.groupBy("node").agg(*[F.sum(F.get("said", F.lit(k)) * F.col("w")).alias(f"m{k}") for k in range(9)])
+        weighted = met.withColumn("w", weight).select(F.col("dst").alias("node"), "w", "said")
+        sums = weighted.groupBy("node").agg(F.sum("w").alias("all"), *[F.sum(F.get("said", F.lit(k)) * F.col("w")).alias(f"m{k}") for k in range(9)])
+        # a node's own value counts half as much as what it is told: without that, two-coloured graphs swing
+        sums = sums.join(at.select("node", "r"), "node").select("node", *[(F.col(f"m{k}") + 0.5 * F.col("all") * F.get("r", F.lit(k))).alias(f"m{k}") for k in range(9)])
         new = _batched(sums, ["node"], [f"m{k}" for k in range(9)], ROTATION, lambda x: nearest_rotation(x.reshape(-1, 3, 3)).reshape(-1, 9))
         turned = new.select("node", F.array(*ROTATION).alias("r")).join(at.withColumnRenamed("r", "was"), "node").withColumn("step", angle_between_deg(F.col("r"), F.col("was")))
         after = materialise(turned.select("node", "r", "step"), "rotations")
@@ -79,7 +81,9 @@ def average_rotations(edges: DataFrame, start: DataFrame, *, sharp_rounds: int =
             forget(at)
         at = after
         if k >= sharp_rounds and (widest is None or widest <= tolerance_deg):
-            return _aligned(at, begun, align)
+            linked = both.select(F.col("dst").alias("node")).distinct()
+            alone = begun.join(linked, "node", "left_anti")
+            return _aligned(at.join(linked, "node", "left_semi"), begun, align).unionByName(alone)
     raise RuntimeError(f"rotations are not settled after {max_rounds} rounds")
 
 

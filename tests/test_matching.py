@@ -35,7 +35,7 @@ def test_rotation_averaging_reduces_the_error(spark):
                 noise = rot(RNG.normal(size=3) * (0.005 if (i * j) % 11 else 1.0))
                 edges.append((i, j, (noise @ truth[j] @ truth[i].T).ravel().tolist()))
     start = [(i, (rot(RNG.normal(size=3) * 0.08) @ r).ravel().tolist()) for i, r in enumerate(truth)]
-    got = average_rotations(spark.createDataFrame(edges, "i int, j int, rij array<double>"), spark.createDataFrame([*start, (99, start[0][1])], "node int, r array<double>"), rounds=12)
+    got = average_rotations(spark.createDataFrame(edges, "i int, j int, rij array<double>"), spark.createDataFrame([*start, (99, start[0][1])], "node int, r array<double>"), tolerance_deg=0.05)
     found = {r.node: np.array(r.r).reshape(3, 3) for r in got.collect()}
 
     def error(rs):
