@@ -14,15 +14,23 @@ from pyspark.sql import functions as F
 from skyweave.functions.vec import dot, norm
 
 
+def _array(*parts: Column) -> Column:
+    """An array that remembers its parts: a step on it takes the one that it needs, not the whole array once for every number."""
+    a = F.array(*parts)
+    a.__dict__["_parts"] = parts
+    return a
+
+
 def _at(a: Column, k: int) -> Column:
-    return F.get(a, F.lit(k))
+    parts = a.__dict__.get("_parts")
+    return F.get(a, F.lit(k)) if parts is None else parts[k]
 
 
 def rotation_of_quaternion(w: Column, x: Column, y: Column, z: Column) -> Column:
     """Of any length but 0 (NULL then)."""
     n = F.sqrt(w * w + x * x + y * y + z * z)
     w, x, y, z = (F.when(n > 0, c / n) for c in (w, x, y, z))
-    return F.array(
+    return _array(
         1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y),
         2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x),
         2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y),
@@ -34,7 +42,7 @@ def quaternion_of_rotation(r: Column) -> Column:
     d = [_at(r, 0), _at(r, 4), _at(r, 8)]
     half = lambda s: F.sqrt(F.greatest(F.lit(0.0), s)) / 2
     signed = lambda size, by: F.when(by < 0, -size).otherwise(size)
-    return F.array(
+    return _array(
         half(1 + d[0] + d[1] + d[2]),
         signed(half(1 + d[0] - d[1] - d[2]), _at(r, 7) - _at(r, 5)),
         signed(half(1 - d[0] + d[1] - d[2]), _at(r, 2) - _at(r, 6)),
@@ -43,28 +51,28 @@ def quaternion_of_rotation(r: Column) -> Column:
 
 
 def rotate(r: Column, v: Column) -> Column:
-    return F.array(*[sum((_at(r, 3 * i + k) * _at(v, k) for k in range(1, 3)), _at(r, 3 * i) * _at(v, 0)) for i in range(3)])
+    return _array(*[sum((_at(r, 3 * i + k) * _at(v, k) for k in range(1, 3)), _at(r, 3 * i) * _at(v, 0)) for i in range(3)])
 
 
 def rotate_back(r: Column, v: Column) -> Column:
     """By the transpose."""
-    return F.array(*[sum((_at(r, 3 * k + i) * _at(v, k) for k in range(1, 3)), _at(r, i) * _at(v, 0)) for i in range(3)])
+    return _array(*[sum((_at(r, 3 * k + i) * _at(v, k) for k in range(1, 3)), _at(r, i) * _at(v, 0)) for i in range(3)])
 
 
 def multiply(a: Column, b: Column) -> Column:
-    return F.array(*[sum((_at(a, 3 * i + k) * _at(b, 3 * k + j) for k in range(1, 3)), _at(a, 3 * i) * _at(b, j)) for i in range(3) for j in range(3)])
+    return _array(*[sum((_at(a, 3 * i + k) * _at(b, 3 * k + j) for k in range(1, 3)), _at(a, 3 * i) * _at(b, j)) for i in range(3) for j in range(3)])
 
 
 def transpose(r: Column) -> Column:
-    return F.array(*[_at(r, 3 * j + i) for i in range(3) for j in range(3)])
+    return _array(*[_at(r, 3 * j + i) for i in range(3) for j in range(3)])
 
 
 def add(a: Column, b: Column, sign: int = 1) -> Column:
-    return F.array(*[_at(a, k) + sign * _at(b, k) for k in range(3)])
+    return _array(*[_at(a, k) + sign * _at(b, k) for k in range(3)])
 
 
 def times(a: Column, s: Column) -> Column:
-    return F.array(*[_at(a, k) * s for k in range(3)])
+    return _array(*[_at(a, k) * s for k in range(3)])
 
 
 def centre(r: Column, t: Column) -> Column:
@@ -100,7 +108,7 @@ def rotation_of_vector(v: Column) -> Column:
     th = F.sqrt(x * x + y * y + z * z)
     s = F.when(th > 1e-8, F.sin(th) / th).otherwise(F.lit(1.0))
     c = F.when(th > 1e-8, (1 - F.cos(th)) / (th * th)).otherwise(F.lit(0.5))
-    return F.array(
+    return _array(
         1 - c * (y * y + z * z), c * x * y - s * z, c * x * z + s * y,
         c * x * y + s * z, 1 - c * (x * x + z * z), c * y * z - s * x,
         c * x * z - s * y, c * y * z + s * x, 1 - c * (x * x + y * y),
@@ -111,7 +119,7 @@ def rotation_of_gimbal(yaw: Column, pitch: Column) -> Column:
     """World (east, north, up) to camera; yaw clockwise from north, pitch below the horizon negative, no roll."""
     y, p = F.radians(yaw), F.radians(pitch)
     sy, cy, sp, cp = F.sin(y), F.cos(y), F.sin(p), F.cos(p)
-    return F.array(cy, -sy, F.lit(0.0), sy * sp, cy * sp, -cp, sy * cp, cy * cp, sp)
+    return _array(cy, -sy, F.lit(0.0), sy * sp, cy * sp, -cp, sy * cp, cy * cp, sp)
 
 
 def similarity(s: Column, r: Column, t: Column) -> Column:

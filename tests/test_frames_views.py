@@ -17,6 +17,7 @@ from skyweave.operators.metrics import spread_stats
 from skyweave.operators.pairs import met_among
 from skyweave.operators.spatial import near_pairs, near_places
 from skyweave.operators.views import bilinear, early_stop
+from skyweave.plans import fits
 from skyweave.session import Growing, clear_scratch, materialise_counted, scratch_path, shared_dir
 
 
@@ -227,3 +228,18 @@ def test_written_rounds_and_their_folder(spark):
     df, n = materialise_counted(spark.range(7).toDF("x"), "test")
     assert n == df.count() == 7
     assert scratch_path(spark, "x").startswith(shared_dir(spark)) and callable(clear_scratch)
+
+
+@pytest.mark.parametrize("query", [fits.planted_gimbals])
+def test_frames_of_known_queries_need_no_large_plan(spark, sf, monkeypatch, query):
+    """What a query writes first is its two frames; the driver holds their plan several times over."""
+    first = []
+
+    def written(df, label):
+        first.append(df)
+        raise InterruptedError(label)
+
+    monkeypatch.setattr(fits, "materialise", written)
+    with pytest.raises(InterruptedError, match="two-frames"):
+        query(spark, sf)
+    assert len(first[0]._jdf.queryExecution().analyzed().toString()) < 100_000

@@ -42,6 +42,13 @@ def test_rotations_and_transforms(spark):
         assert np.allclose(o.same, v[k]) and np.allclose(o.moved, 2.5 * r[k] @ v[k] + t[k])
 
 
+def test_expressions_of_nested_steps_stay_small(spark):
+    r, t = pose.move_pose(F.col("m"), F.col("r"), F.col("t"))
+    assert len(str(pose.centre(r, t))) < 20_000  # every number once held all numbers of the step before: millions
+    rb, tb = pose.relative(F.col("r"), F.col("t"), r, t)
+    assert len(str(pose.centre(rb, tb))) < 100_000
+
+
 def pose_columns():
     q = pose.quaternion_of_rotation(F.col("r"))
     return [F.get(q, F.lit(k)) for k in range(4)]
