@@ -230,7 +230,7 @@ def test_written_rounds_and_their_folder(spark):
     assert scratch_path(spark, "x").startswith(shared_dir(spark)) and callable(clear_scratch)
 
 
-@pytest.mark.parametrize("query", [fits.planted_gimbals, fits.planted_links])
+@pytest.mark.parametrize("query", [fits.planted_gimbals, fits.planted_links, fits.planted_positions])
 def test_frames_of_known_queries_need_no_large_plan(spark, sf, monkeypatch, query):
     """What a query writes first is its two frames; the driver holds their plan several times over."""
     first = []
