@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skyweave.operators.keyed import lookup_join
 from skyweave.operators.ordering import grouped_quantile
-from skyweave.session import materialise
+from skyweave.session import forget, materialise
 
 
 def _batched(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], outputs: Sequence[str], solve: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -85,7 +85,7 @@ def similarity_fit(df: DataFrame, group: str, src: Sequence[str], dst: Sequence[
     """
     columns = [*src, *dst]
     whole = df.filter(" and ".join(f"{c} is not null and not isnan({c})" for c in columns))
-    means = whole.groupBy(group).agg(*[F.avg(c).alias(f"mu_{c}") for c in columns])
+    means = materialise(whole.groupBy(group).agg(*[F.avg(c).alias(f"mu_{c}") for c in columns]), "fit-means")
     key = F.struct(group).alias("__at")
     near = lookup_join(whole.select(group, *columns).withColumn("__at", F.struct(group)), means.select(key, *[f"mu_{c}" for c in columns]), "__at", "inner").drop("__at")
     a = {c: F.col(c) - F.col(f"mu_{c}") for c in columns}
@@ -125,10 +125,14 @@ def robust_similarity_fit(df: DataFrame, group: str, src: Sequence[str], dst: Se
     fits = materialise(similarity_fit(whole, group, src, dst), "fit")
     for _ in range(rounds):
         rows = materialise(fit_residuals(whole, group, src, dst, fits).filter(~F.isnan("residual")), "fit-residuals")
-        cut = grouped_quantile(rows, group, "residual", keep, "cut")
+        cut = materialise(grouped_quantile(rows, group, "residual", keep, "cut"), "fit-cut")
         key = F.struct(group)
         kept = lookup_join(rows.withColumn("__k", key), cut.select(key.alias("__k"), "cut"), "__k", "inner").filter(F.col("residual") <= F.col("cut")).drop("__k")
+        # written, as the next fit reads them several times
+        kept = materialise(kept.select(group, *src, *dst), "fit-kept")
         fits = materialise(similarity_fit(kept, group, src, dst), "fit")
+        forget(rows)
+        forget(kept)
     return fits
 
 

@@ -170,7 +170,7 @@ def _spread(flat: DataFrame, group: str, columns: list[str]) -> DataFrame:
 
     from skyweave.operators.estimators import _batched
 
-    mean = flat.groupBy(group).agg(*[F.avg(c).alias(f"m_{c}") for c in columns])
+    mean = materialise(flat.groupBy(group).agg(*[F.avg(c).alias(f"m_{c}") for c in columns]), "spread-means")
     near = lookup_join(flat, mean, group, "inner")
     d = [F.col(c) - F.col(f"m_{c}") for c in columns]
     pairs = [(i, j) for i in range(3) for j in range(i, 3)]

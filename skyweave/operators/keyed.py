@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from skyweave.session import materialise
+
 
 def present(c: Column) -> Column:
     """Neither NULL nor NaN (for float columns)."""
@@ -36,7 +38,8 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
 
     Keys with more than 1/HEAVY_KEYS of the left rows are, by counting, at most HEAVY_KEYS; only their
     right rows are broadcast. All other keys are joined by a shuffle in which no key is large.
-    ``rows`` is the number of left rows if known; else it is counted.
+    ``rows`` is the number of left rows if known; else it is counted. Heavy keys are written once: the plan names ``left`` twice
+    where some keys are heavy, else once, so that lookups on lookups stay small plans.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
@@ -44,7 +47,13 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     least = max(HEAVY_ROWS, rows // HEAVY_KEYS)
     if rows <= least:
         return left.join(right, key, how)
-    heavy_keys = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > least).select(key, F.lit(True).alias("__heavy"))
+    seen, large = Observation(), F.col("__n") > least
+    sizes = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).observe(seen, F.sum("__n").alias("rows"), F.coalesce(F.sum(F.when(large, F.col("__n"))), F.lit(0)).alias("heavy"))
+    heavy_keys = materialise(sizes.filter(large).select(key, F.lit(True).alias("__heavy")), "heavy-keys")
+    if not seen.get["heavy"]:
+        return left.join(right, key, how)
+    if seen.get["heavy"] == seen.get["rows"]:
+        return left.join(F.broadcast(right.join(F.broadcast(heavy_keys.select(key)), key, "left_semi")), key, how)
     marked = left.join(F.broadcast(heavy_keys), key, "left")
     heavy = marked.filter("__heavy").drop("__heavy")
     light = marked.filter("__heavy is null").drop("__heavy")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyweave.operators import covis
+from skyweave.operators import covis, estimators, frames, keyed
 from skyweave.operators.cloud import median_cells, nearest_of_set
 from skyweave.operators.covis import shared_counts
 from skyweave.operators.frames import fit_from_cameras, merge_by_positions, merge_frames, place_images
@@ -243,3 +243,25 @@ def test_frames_of_known_queries_need_no_large_plan(spark, sf, monkeypatch, quer
     with pytest.raises(InterruptedError, match="two-frames|clusters"):
         query(spark, sf)
     assert len(first[0]._jdf.queryExecution().analyzed().toString()) < 100_000
+
+
+@pytest.mark.parametrize("query", [fits.planted_positions])
+def test_heavy_groups_do_not_multiply_the_plan(spark, sf, monkeypatch, query):
+    """Lookups on lookups with heavy keys: every written plan names few tables, and the rows are those without heavy keys."""
+    plain = sorted(query(spark, sf).collect())
+    named = []
+
+    def spy(module):
+        write = module.materialise
+
+        def written(df, label):
+            named.append(df._jdf.queryExecution().analyzed().toString().count("Relation ["))
+            return write(df, label)
+
+        monkeypatch.setattr(module, "materialise", written)
+
+    for module in (estimators, fits, frames):
+        spy(module)
+    monkeypatch.setattr(keyed, "HEAVY_ROWS", 5)
+    assert sorted(query(spark, sf).collect()) == plain
+    assert max(named) <= 12

@@ -21,3 +21,16 @@ def test_lookup_join_of_heavy_keys_equals_a_plain_join(spark, monkeypatch):
     for how in ("left", "inner"):
         a = sorted(lookup_join(left, right, "k", how).collect(), key=str)
         assert a == sorted(left.join(right, "k", how).collect(), key=str)
+
+
+def test_lookup_join_names_the_left_side_once_unless_keys_are_heavy(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "HEAVY_ROWS", 10)
+    monkeypatch.setattr(keyed, "HEAVY_KEYS", 5)
+    right = spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    named = lambda df: df._jdf.queryExecution().analyzed().toString().count("Range (0, 301")
+    even, one = (spark.range(301).select(k.alias("k"), F.col("id").alias("v")) for k in (F.col("id"), F.lit(7)))
+    for left in (even, one):
+        for how in ("left", "inner"):
+            got = lookup_join(left, right, "k", how)
+            assert named(got) == 1
+            assert sorted(got.collect(), key=str) == sorted(left.join(right, "k", how).collect(), key=str)
