@@ -5,16 +5,16 @@ All fits of a call run together, one group per link or cluster; a group contribu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from skyweave.functions.pose import add, angle_between_deg, apply_similarity, compose_similarity, multiply, rotate, similarity, times, transpose
 from skyweave.operators.covis import shared_counts
 from skyweave.operators.estimators import ROTATION, mean_rotation, similarity_fit
-from skyweave.operators.graph import both_ways, place_by_rank, spanning_forest
+from skyweave.operators.graph import both_ways, place_by_rank, rooted, spanning_forest
 from skyweave.operators.keyed import lookup_join
 from skyweave.operators.ordering import grouped_quantile
-from skyweave.session import Growing, materialise
+from skyweave.session import forget, materialise, materialise_counted
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -47,6 +47,7 @@ def fit_from_cameras(cameras: DataFrame, link: str, ratios: DataFrame | None = N
         scale = middle.select("l", F.exp("v50").alias("s"))
         off = lookup_join(r, middle, "l", "inner").select("l", F.abs(F.col("v") - F.col("v50")).alias("d"))
         spread = materialise(grouped_quantile(off, "l", "d", 0.5, "spread"), "frames-spread")
+        forget(r)
     kept = rows
     for last in (False, True):
         turn = mean_rotation(kept, "l", "turn").select("l", F.array(*ROTATION).alias("R"))
@@ -58,15 +59,21 @@ def fit_from_cameras(cameras: DataFrame, link: str, ratios: DataFrame | None = N
         near = lookup_join(kept, first, "l", "inner").withColumn("moved", times(rotate(F.col("R"), F.col("cs")), F.col("s")))
         shift = _median_shift(near, "l", F.col("moved"), F.col("cd"))
         fitted = materialise(first.join(shift, "l").select("l", similarity(F.col("s"), F.col("R"), F.col("t")).alias("m")), "frames-fit")
-        judged = lookup_join(rows, fitted, "l", "inner").select(*rows.columns, angle_between_deg(F.col("turn"), F.col("m.r")).alias("deg"), _distance(apply_similarity(F.col("m"), F.col("cs")), F.col("cd")).alias("far"))
+        judged = lookup_join(rows, fitted, "l", "inner").select(*(["l"] if last else rows.columns), angle_between_deg(F.col("turn"), F.col("m.r")).alias("deg"), _distance(apply_similarity(F.col("m"), F.col("cs")), F.col("cd")).alias("far"))
         judged = materialise(judged, "frames-judged")
+        if last:
+            forget(rows)
+            forget(kept)
         median = materialise(grouped_quantile(judged, "l", "far", 0.5, "off"), "frames-off")
         limit = F.lit(max_off) if max_off is not None else 3 * F.greatest("off", F.lit(1e-9))
-        judged = materialise(lookup_join(judged, median, "l", "inner").withColumn("good", (F.col("deg") <= max_deg) & (F.col("far") <= limit)), "frames-good")
+        good = materialise(lookup_join(judged, median, "l", "inner").withColumn("good", (F.col("deg") <= max_deg) & (F.col("far") <= limit)), "frames-good")
+        forget(judged)
+        judged = good
         some = judged.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.count_if("good").alias("inliers"))
         if not last:
             kept = lookup_join(judged, some.select("l", (F.col("inliers") == 0).alias("none")), "l", "inner").filter("good or none").select(*rows.columns)
             kept = materialise(kept, "frames-kept")
+            forget(judged)
     out = fitted.join(some, "l").join(median, "l").join(grouped_quantile(judged, "l", "deg", 0.5, "rotation_deg"), "l")
     out = out.join(spread, "l", "left") if ratios is not None else out.withColumn("spread", F.lit(None).cast("double"))
     return out.select(F.col("l").alias(link), "n", "inliers", "m", "rotation_deg", "off", "spread")
@@ -108,8 +115,8 @@ def merge_frames(members: DataFrame, ratios: DataFrame | None = None) -> DataFra
 
     ``members`` has ``cluster, image, r, c`` (rotation and centre in the cluster's frame) with one row per cluster and image; ``ratios`` has
     ``cluster, image, pixel, depth``. Clusters are joined by the maximum spanning tree of their common images, equal ones by smaller ids; each
-    link is fitted from its common cameras, and the fits are composed down the tree. Clusters out of reach are absent. The root, depth 0, has
-    most images, then the smallest id.
+    link is fitted from its common cameras, and the fits are composed down the tree, in as many rounds as the depth has binary digits. Clusters out
+    of reach are absent. The root, depth 0, has most images, then the smallest id.
     """
     m = materialise(members.select(F.col("cluster").cast("long").alias("cluster"), "image", "r", "c"), "merge-members")
     overlap = shared_counts(m, "image", "cluster")
@@ -123,15 +130,24 @@ def merge_frames(members: DataFrame, ratios: DataFrame | None = None) -> DataFra
         met = tree.join(d.withColumnsRenamed({"cluster": "src", "depth": "dd"}), "src").join(d.withColumnsRenamed({"cluster": "dst", "depth": "ds"}), ["dst", "image", "pixel"])
         logs = met.select(link.alias("link"), F.log(F.col("dd") / F.col("ds")).alias("v"))
     fits = materialise(fit_from_cameras(both, "link", logs).select(F.col("link.p").alias("src"), F.col("link.q").alias("dst"), F.col("m").alias("fit")), "merge-fits")
-    found = Growing(members.sparkSession, "merge")
     same = similarity(F.lit(1.0), F.array(*[F.lit(float(k in (0, 4, 8))) for k in range(9)]), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
     root = m.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cluster").limit(1)
-    found.append(root.select("cluster", same.alias("m"), F.lit(0).alias("depth")))
-    while True:
-        last = found.part(-1).select(F.col("cluster").alias("src"), F.col("m").alias("above"), "depth")
-        step = last.join(fits, "src").join(found.read().select(F.col("cluster").alias("dst")), "dst", "left_anti")
-        if not found.append(step.select(F.col("dst").alias("cluster"), compose_similarity(F.col("above"), F.col("fit")).alias("m"), (F.col("depth") + 1).alias("depth"))):
-            return found.read()
+    root = materialise(root.select("cluster"), "merge-root")
+    first = root.first()  # one row
+    parents = materialise(rooted(tree, first and first.cluster), "merge-parents")
+    down = parents.select(F.col("parent").alias("src"), F.col("node").alias("dst")).join(fits, ["src", "dst"])
+    # up: the cluster above whose frame m leads to, ``depth`` links up; NULL for the root
+    whole = root.select("cluster", F.lit(None).cast("long").alias("up"), same.alias("m"), F.lit(0).alias("depth"))
+    state, going = materialise_counted(whole.unionByName(down.select(F.col("dst").alias("cluster"), F.col("src").alias("up"), F.col("fit").alias("m"), F.lit(1).alias("depth"))), "merge")
+    while going:
+        above = state.select(F.col("cluster").alias("up"), F.col("up").alias("next"), F.col("m").alias("above"), F.col("depth").alias("more"))
+        moved = lookup_join(state.filter("up is not null"), above, "up", "inner", going)
+        moved = moved.select("cluster", F.col("next").alias("up"), compose_similarity(F.col("above"), F.col("m")).alias("m"), (F.col("depth") + F.col("more")).alias("depth"))
+        seen = Observation()
+        after = materialise(state.filter("up is null").unionByName(moved).observe(seen, F.count_if(F.col("up").isNotNull()).alias("going")), "merge")
+        forget(state)
+        state, going = after, seen.get["going"]
+    return state.select("cluster", "m", "depth")
 
 
 def place_images(members: DataFrame, merged: DataFrame) -> DataFrame:

@@ -195,6 +195,35 @@ def spanning_forest(edges: DataFrame, weight: str, a: str = "i", b: str = "j") -
     return tree.read().select("i", "j", F.col("w").alias("weight")).distinct()
 
 
+def rooted(tree: DataFrame, root: int | None) -> DataFrame:
+    """``node, parent`` of all nodes but ``root`` in its tree; ``tree`` has ``src, dst``, every edge in both directions and without cycles.
+
+    The directed edges form a tour: after u-v comes v-w, with w the neighbour of v that follows u. From the root's first edge the tour
+    ends before it comes again, and every edge learns by doubling how far it is from that end. Of the two directions of an edge the one
+    further from the end leads down. The rounds grow with the logarithm of the number of edges, however deep the tree is; tours of other trees have no end and are left out.
+    """
+    w = Window.partitionBy("src").orderBy("dst")
+    after = tree.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.coalesce(F.lead("dst").over(w), F.min("dst").over(Window.partitionBy("src"))).alias("to"), F.lead("dst").over(w).isNull().alias("wraps"))
+    stops = F.col("wraps") & F.col("dst").eqNullSafe(F.lit(root).cast("long"))
+    # next: the edge from n1 to n2 that is ``far`` steps on, NULL at the end
+    state = after.select("src", "dst", F.when(~stops, F.col("dst")).alias("n1"), F.when(~stops, F.col("to")).alias("n2"), F.lit(1).cast("long").alias("far"))
+    state, ended = materialise(state, "tour"), 0
+    while True:
+        done = state.filter("n1 is null")
+        target = state.select(F.col("src").alias("n1"), F.col("dst").alias("n2"), F.col("n1").alias("m1"), F.col("n2").alias("m2"), F.col("far").alias("more"))
+        moved = state.filter("n1 is not null").join(target, ["n1", "n2"]).select("src", "dst", F.col("m1").alias("n1"), F.col("m2").alias("n2"), (F.col("far") + F.col("more")).alias("far"))
+        seen = Observation()
+        nxt = materialise(done.unionByName(moved).observe(seen, F.count_if(F.col("n1").isNull()).alias("ended")), "tour")
+        forget(state)
+        state = nxt
+        if seen.get["ended"] == ended:
+            break
+        ended = seen.get["ended"]
+    far = state.filter("n1 is null").select("src", "dst", "far")
+    back = far.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("far").alias("back"))
+    return far.join(back, ["src", "dst"]).filter(F.col("far") > F.col("back")).select(F.col("dst").alias("node"), F.col("src").alias("parent"))
+
+
 def place_by_rank(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row per key: the first by ``order``, NULL last."""
     w = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in order])

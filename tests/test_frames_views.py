@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from skyweave.operators import covis, estimators, frames, keyed
@@ -18,6 +19,7 @@ from skyweave.operators.pairs import met_among
 from skyweave.operators.spatial import near_pairs, near_places
 from skyweave.operators.views import bilinear, early_stop
 from skyweave.plans import fits
+from skyweave import session
 from skyweave.session import Growing, clear_scratch, materialise_counted, scratch_path, shared_dir
 
 
@@ -265,3 +267,31 @@ def test_heavy_groups_do_not_multiply_the_plan(spark, sf, monkeypatch, query):
     monkeypatch.setattr(keyed, "HEAVY_ROWS", 5)
     assert sorted(query(spark, sf).collect()) == plain
     assert max(named) <= 12
+
+
+def test_a_deep_tree_is_merged_in_few_rounds(spark, monkeypatch):
+    """A chain of 30 clusters under the largest one, and a chain apart: as many rounds as the depth has digits, twice."""
+    rng = np.random.default_rng(4)
+    world = cameras(rng, 200)
+    held = {k: range(3 * k, 3 * k + 6) for k in range(1, 31)} | {0: [3, 4, 5, *range(190, 196)]} | {k: range(3 * k, 3 * k + 6) for k in range(50, 53)}
+    frames_of = {k: (rng.uniform(0.5, 2), turn(rng.normal(size=3)), rng.normal(size=3) * 5) for k in held}
+    rows = [(k, i, r.ravel().tolist(), c.tolist()) for k, images in held.items() for i in images for r, c in [moved(inverse(frames_of[k]), *world[i])]]
+    members = spark.createDataFrame(rows, "cluster int, image int, r array<double>, c array<double>")
+    written = []
+    path = session.scratch_path
+
+    def named(spark, label):
+        written.append(label)
+        return path(spark, label)
+
+    save = DataFrameWriter.parquet
+    monkeypatch.setattr(session, "scratch_path", named)
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, to, *a, **k: written.append(to) or save(self, to, *a, **k))
+    merged = merge_frames(members)
+    rounds = [x for x in written if x.startswith("/") or ":" in x]
+    got = {r.cluster: r for r in merged.collect()}
+    assert {k: r.depth for k, r in got.items()} == {k: k for k in range(31)}
+    s, rot, t = frames_of[0]
+    for r in place_images(members, merged).collect():
+        assert s * rot @ np.array(r.c) + t == pytest.approx(world[r.image][1], abs=1e-5)
+    assert sum("/merge" in x or "/tour" in x for x in rounds) <= 25
