@@ -247,7 +247,7 @@ def test_frames_of_known_queries_need_no_large_plan(spark, sf, monkeypatch, quer
     assert len(first[0]._jdf.queryExecution().analyzed().toString()) < 100_000
 
 
-@pytest.mark.parametrize("query", [fits.planted_positions])
+@pytest.mark.parametrize("query", [fits.planted_positions, fits.planted_links])
 def test_heavy_groups_do_not_multiply_the_plan(spark, sf, monkeypatch, query):
     """Lookups on lookups with heavy keys: every written plan names few tables, and the rows are those without heavy keys."""
     plain = sorted(query(spark, sf).collect())
