@@ -12,7 +12,7 @@ from skyweave.functions.pose import add, angle_between_deg, apply_similarity, co
 from skyweave.operators.covis import shared_counts
 from skyweave.operators.estimators import ROTATION, mean_rotation, similarity_fit
 from skyweave.operators.graph import both_ways, place_by_rank, rooted, spanning_forest
-from skyweave.operators.keyed import lookup_join
+from skyweave.operators.keyed import heavy_keys, lookup_join
 from skyweave.operators.ordering import grouped_quantile
 from skyweave.session import forget, materialise, materialise_counted
 
@@ -22,12 +22,16 @@ def _distance(a: Column, b: Column) -> Column:
     return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
 
 
-def _median_shift(rows: DataFrame, link: str, moved: Column, target: Column) -> DataFrame:
-    """``link, t`` (array of 3): the median of target - moved, axis by axis; the three axes are groups of one quantile."""
-    axes = F.explode(F.array(*[F.struct(F.lit(k).alias("axis"), (F.get(target, F.lit(k)) - F.get(moved, F.lit(k))).alias("v")) for k in range(3)]))
-    long = rows.select(F.col(link).alias("link"), axes.alias("a")).select(F.struct("link", "a.axis").alias("g"), F.col("a.v").alias("v"))
+def _medians(link: str, *parts: tuple[DataFrame, dict[str, Column]]) -> DataFrame:
+    """``link`` and the median of every value of every part, which are groups of one quantile; NULL for a value that a link has nowhere."""
+    names = [name for _, values in parts for name in values]
+    long = None
+    for rows, values in parts:
+        each = F.explode(F.array(*[F.struct(F.lit(names.index(name)).alias("which"), v.alias("v")) for name, v in values.items()]))
+        some = rows.select(F.col(link).alias("link"), each.alias("a")).select(F.struct("link", "a.which").alias("g"), F.col("a.v").alias("v"))
+        long = some if long is None else long.unionByName(some)
     q = grouped_quantile(long, "g", "v", 0.5, "v")
-    return q.groupBy(F.col("g.link").alias(link)).agg(*[F.max(F.when(F.col("g.axis") == k, F.col("v"))).alias(f"t{k}") for k in range(3)]).select(link, F.array("t0", "t1", "t2").alias("t"))
+    return q.groupBy(F.col("g.link").alias(link)).agg(*[F.max(F.when(F.col("g.which") == k, F.col("v"))).alias(name) for k, name in enumerate(names)])
 
 
 def fit_from_cameras(cameras: DataFrame, link: str, ratios: DataFrame | None = None, max_deg: float = 5.0, max_off: float | None = None) -> DataFrame:
@@ -40,14 +44,14 @@ def fit_from_cameras(cameras: DataFrame, link: str, ratios: DataFrame | None = N
     cameras). Shift: median of cd - s R cs. Cameras off by more than ``max_deg``, or by more than ``max_off`` (default: three times the median
     distance), are left out of a second fit, unless all would be. ``rotation_deg`` and ``off`` are medians, ``spread`` that of the ratios.
     """
-    rows = materialise(cameras.select(F.col(link).alias("l"), "rd", "cd", "rs", "cs", multiply(transpose(F.col("rd")), F.col("rs")).alias("turn")).filter("l is not null"), "frames-cameras")
+    rows, count = materialise_counted(cameras.select(F.col(link).alias("l"), "rd", "cd", "rs", "cs", multiply(transpose(F.col("rd")), F.col("rs")).alias("turn")).filter("l is not null"), "frames-cameras")
+    heavy = heavy_keys(rows, "l", count)
+    met = lambda some, right: lookup_join(some, right, "l", "inner", heavy=heavy)
     if ratios is not None:
-        r = materialise(ratios.select(F.col(link).alias("l"), "v"), "frames-ratios")
+        r, count = materialise_counted(ratios.select(F.col(link).alias("l"), "v"), "frames-ratios")
         middle = materialise(grouped_quantile(r, "l", "v", 0.5, "v50"), "frames-scale")
         scale = middle.select("l", F.exp("v50").alias("s"))
-        off = lookup_join(r, middle, "l", "inner").select("l", F.abs(F.col("v") - F.col("v50")).alias("d"))
-        spread = materialise(grouped_quantile(off, "l", "d", 0.5, "spread"), "frames-spread")
-        forget(r)
+        beside = (lookup_join(r, middle, "l", "inner", count), {"spread": F.abs(F.col("v") - F.col("v50"))})
     kept = rows
     for last in (False, True):
         turn = mean_rotation(kept, "l", "turn").select("l", F.array(*ROTATION).alias("R"))
@@ -56,25 +60,31 @@ def fit_from_cameras(cameras: DataFrame, link: str, ratios: DataFrame | None = N
             fit = similarity_fit(flat, "l", ["a0", "a1", "a2"], ["b0", "b1", "b2"])
             scale = fit.select("l", F.when(F.isnan("s") | (F.col("n") < 3), F.lit(1.0)).otherwise(F.col("s")).alias("s"))
         first = materialise(turn.join(scale, "l", "left").select("l", "R", F.coalesce("s", F.lit(1.0)).alias("s")), "frames-turn")
-        near = lookup_join(kept, first, "l", "inner").withColumn("moved", times(rotate(F.col("R"), F.col("cs")), F.col("s")))
-        shift = _median_shift(near, "l", F.col("moved"), F.col("cd"))
-        fitted = materialise(first.join(shift, "l").select("l", similarity(F.col("s"), F.col("R"), F.col("t")).alias("m")), "frames-fit")
-        judged = lookup_join(rows, fitted, "l", "inner").select(*(["l"] if last else rows.columns), angle_between_deg(F.col("turn"), F.col("m.r")).alias("deg"), _distance(apply_similarity(F.col("m"), F.col("cs")), F.col("cd")).alias("far"))
+        near = met(kept, first).withColumn("moved", times(rotate(F.col("R"), F.col("cs")), F.col("s")))
+        axes = {f"t{k}": F.get("cd", F.lit(k)) - F.get("moved", F.lit(k)) for k in range(3)}
+        # the ratios' spread is found along with the first shift
+        told = ratios is not None and not last
+        shift = _medians("l", (near, axes), *([beside] if told else [])).filter(" or ".join(f"{t} is not null" for t in axes))
+        fitted = first.join(shift, "l").select("l", similarity(F.col("s"), F.col("R"), F.array(*axes)).alias("m"), *(["spread"] if told else []))
+        fitted = materialise(fitted, "frames-fit")
+        if told:
+            spread, fitted = fitted.select("l", "spread"), fitted.select("l", "m")
+            forget(r)
+        judged = met(rows, fitted).select(*(["l"] if last else rows.columns), angle_between_deg(F.col("turn"), F.col("m.r")).alias("deg"), _distance(apply_similarity(F.col("m"), F.col("cs")), F.col("cd")).alias("far"))
         judged = materialise(judged, "frames-judged")
         if last:
             forget(rows)
             forget(kept)
-        median = materialise(grouped_quantile(judged, "l", "far", 0.5, "off"), "frames-off")
+        middles = {"off": F.col("far")} | ({"rotation_deg": F.col("deg")} if last else {})
+        median = materialise(_medians("l", (judged, middles)).filter(" and ".join(f"{c} is not null" for c in middles)), "frames-off")
         limit = F.lit(max_off) if max_off is not None else 3 * F.greatest("off", F.lit(1e-9))
-        good = materialise(lookup_join(judged, median, "l", "inner").withColumn("good", (F.col("deg") <= max_deg) & (F.col("far") <= limit)), "frames-good")
-        forget(judged)
-        judged = good
-        some = judged.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.count_if("good").alias("inliers"))
+        good = (F.col("deg") <= max_deg) & (F.col("far") <= limit)
+        some = met(judged, median).groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("inliers"))
         if not last:
-            kept = lookup_join(judged, some.select("l", (F.col("inliers") == 0).alias("none")), "l", "inner").filter("good or none").select(*rows.columns)
-            kept = materialise(kept, "frames-kept")
+            some = materialise(median.join(some, "l").select("l", "off", (F.col("inliers") == 0).alias("none")), "frames-some")
+            kept = materialise(met(judged, some).filter(good | F.col("none")).select(*rows.columns), "frames-kept")
             forget(judged)
-    out = fitted.join(some, "l").join(median, "l").join(grouped_quantile(judged, "l", "deg", 0.5, "rotation_deg"), "l")
+    out = fitted.join(some, "l").join(median, "l")
     out = out.join(spread, "l", "left") if ratios is not None else out.withColumn("spread", F.lit(None).cast("double"))
     return out.select(F.col("l").alias(link), "n", "inliers", "m", "rotation_deg", "off", "spread")
 

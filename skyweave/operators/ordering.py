@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyweave.operators.keyed import lookup_join
-from skyweave.session import materialise, materialise_counted, shuffle_width
+from skyweave.session import materialise, shuffle_width
 
 
 def _local_totals(names: Sequence[str], columns: Sequence[str]):
@@ -38,17 +38,23 @@ def _local_totals(names: Sequence[str], columns: Sequence[str]):
     return run
 
 
+def _ranged_totals(df: DataFrame, order: Sequence[Column], totals: dict[str, Column]) -> DataFrame:
+    """Rows in range partitions of the order, written with ``__part`` and the running totals within it; ``__v_`` columns are what was summed."""
+    names = list(totals)
+    ranged = df.withColumns({f"__v_{n}": F.coalesce(e, F.lit(0)) for n, e in totals.items()})
+    ranged = ranged.withColumns({f"__v_{n}": F.col(f"__v_{n}").cast("long") for n in names})
+    ranged = ranged.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    fields = [*df.schema.fields, *[T.StructField(n, T.LongType()) for n in [*names, *[f"__v_{n}" for n in names]]], T.StructField("__part", T.IntegerType())]
+    return materialise(ranged.mapInArrow(_local_totals(names, df.columns), T.StructType(fields)), "ordering")
+
+
 def running_totals(df: DataFrame, order: Sequence[Column], totals: dict[str, Column]) -> DataFrame:
     """``df`` with inclusive running totals in the given order, which must tell all rows apart.
 
     ``totals`` maps new column names to the whole numbers that are summed; a NULL adds nothing. Rows are shuffled once.
     """
     names = list(totals)
-    ranged = df.withColumns({f"__v_{n}": F.coalesce(e, F.lit(0)) for n, e in totals.items()})
-    ranged = ranged.withColumns({f"__v_{n}": F.col(f"__v_{n}").cast("long") for n in names})
-    ranged = ranged.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    fields = [*df.schema.fields, *[T.StructField(n, T.LongType()) for n in [*names, *[f"__v_{n}" for n in names]]], T.StructField("__part", T.IntegerType())]
-    summed = materialise(ranged.mapInArrow(_local_totals(names, df.columns), T.StructType(fields)), "ordering")
+    summed = _ranged_totals(df, order, totals)
     sums = summed.groupBy("__part").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names])
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = sums.select("__part", *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in names])
@@ -81,19 +87,23 @@ def positions_in_group(df: DataFrame, group: str, order: Sequence[Column], name:
 def grouped_quantile(df: DataFrame, group: str, value: str, q: float, name: str = "q") -> DataFrame:
     """The exact quantile (linear between ranks) of every group; missing values do not count.
 
-    Values are counted first, so equal ones travel once, and ordered across partitions: no task holds a whole group.
+    Values are counted first, so equal ones travel once, and ordered across partitions: no task holds a whole group. A group's ranks are
+    looked for in the totals of its partitions; then only the parts that hold them are read again, each no larger than a partition.
     """
     rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    per, distinct = materialise_counted(rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")), "quantile-values")
-    run = running_totals(per, [F.col("g").asc_nulls_first(), F.col("v")], {"upto": F.col("n")})
-    sizes = run.groupBy("g").agg(F.max("upto").alias("last"), F.sum("n").alias("size"))
-    key = F.struct("g").alias("k")
-    both = lookup_join(run.withColumn("k", F.struct("g")), sizes.select(key, "last", "size"), "k", "inner", distinct)
-    high = F.col("upto") - (F.col("last") - F.col("size"))  # ranks (high - n, high] of the group hold this value
+    per = rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    run = _ranged_totals(per, [F.col("g").asc_nulls_first(), F.col("v")], {"upto": F.col("n")})
+    own = Window.partitionBy("g")  # as many rows as the group has partitions
+    parts = run.groupBy("g", "__part").agg(F.sum("n").alias("held"), F.min(F.col("upto") - F.col("n")).alias("start"))
+    parts = parts.withColumns({"size": F.sum("held").over(own), "after": F.sum("held").over(own.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0))})
     at = (F.col("size") - 1) * F.lit(float(q))
     low_rank, high_rank = F.floor(at) + 1, F.ceil(at) + 1
-    holds = lambda rank: (rank > high - F.col("n")) & (rank <= high)
-    ends = both.filter(holds(low_rank) | holds(high_rank)).groupBy("g").agg(
-        F.min(F.when(holds(low_rank), F.col("v"))).alias("a"), F.max(F.when(holds(high_rank), F.col("v"))).alias("b"), F.max(at - F.floor(at)).alias("part")
+    holds = lambda rank, high, n: (rank > high - n) & (rank <= high)
+    before = (F.col("after") - F.col("held") - F.col("start")).alias("before")
+    named = parts.filter(holds(low_rank, F.col("after"), F.col("held")) | holds(high_rank, F.col("after"), F.col("held"))).select(F.struct("g", "__part").alias("k"), "size", before)
+    both = run.select("g", "v", "n", "upto", F.struct("g", "__part").alias("k")).join(named, "k")
+    low, high = (holds(rank, F.col("upto") + F.col("before"), F.col("n")) for rank in (low_rank, high_rank))
+    ends = both.filter(low | high).groupBy("g").agg(
+        F.min(F.when(low, F.col("v"))).alias("a"), F.max(F.when(high, F.col("v"))).alias("b"), F.max(at - F.floor(at)).alias("part")
     )
     return ends.select(F.col("g").alias(group), (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias(name))

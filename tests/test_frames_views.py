@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -269,6 +270,22 @@ def test_heavy_groups_do_not_multiply_the_plan(spark, sf, monkeypatch, query):
     assert max(named) <= 12
 
 
+def test_links_are_fitted_in_few_plans(spark, sf):
+    """The driver's memory grows with the plans that it makes: how many there are, and their joins and exchanges together."""
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+
+    def known():
+        bus.waitUntilEmpty(60_000)
+        found = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return {e.executionId(): e.physicalPlanDescription() for e in map(found.apply, range(found.size()))}
+
+    before = known()
+    assert fits.planted_links(spark, sf).count() == 3
+    plans = [p for k, p in known().items() if k not in before]
+    assert 10 < len(plans) <= 24
+    assert sum(len(re.findall(r"^\(\d+\) \w*(?:Join|Exchange)\b", p, re.M)) for p in plans) <= 200
+
+
 def test_a_deep_tree_is_merged_in_few_rounds(spark, monkeypatch):
     """A chain of 30 clusters under the largest one, and a chain apart: as many rounds as the depth has digits, twice."""
     rng = np.random.default_rng(4)

@@ -1,9 +1,11 @@
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skyweave.operators import ordering
 from skyweave.operators.ordering import grouped_quantile, positions_in_group, running_totals, with_index
 from skyweave.operators.sequences import consecutive_runs, run_means, steps, sweep_windows
 
@@ -40,6 +42,26 @@ def test_quantiles_of_groups(spark, q):
         assert got[g] == pytest.approx(np.quantile(v, q))
 
 
+def test_quantiles_write_one_table_and_meet_groups_of_many_partitions(spark, monkeypatch):
+    written = []
+    write = ordering.materialise
+    monkeypatch.setattr(ordering, "materialise", lambda df, label: written.append(label) or write(df, label))
+    monkeypatch.setattr(ordering, "shuffle_width", lambda spark: 9)
+    rng = random.Random(4)
+    inf = float("inf")
+    data = [("hot", rng.choice([rng.random(), 0.5, -inf])) for _ in range(3000)] + [("same", 7.0)] * 500 + [(None, float(k)) for k in range(40)] + [(f"g{k}", float(k)) for k in range(300)] + [("end", inf)]
+    df = spark.createDataFrame(data, "g string, v double")
+    for q in (0.0, 0.25, 0.5, 0.75, 1.0):
+        got = {r.g: r.q for r in grouped_quantile(df, "g", "v", q).collect()}
+        assert set(got) == {g for g, _ in data} and got["end"] != got["end"]  # between infinities
+        for g in ("hot", "same", None, "g0", "g299"):
+            v = sorted(x for h, x in data if h == g)
+            at = (len(v) - 1) * q
+            low, high = v[math.floor(at)], v[math.ceil(at)]
+            assert got[g] == pytest.approx(low + (high - low) * (at - math.floor(at)), nan_ok=True)
+    assert written == ["ordering"] * 5
+
+
 def test_windows_runs_steps(spark):
     data = [(g, k) for g, n in (("a", 19), ("b", 5), ("c", 12), ("d", 8)) for k in range(n)]
     df = spark.createDataFrame(data, "g string, k int")
