@@ -44,13 +44,13 @@ def fit_from_cameras(cameras: DataFrame, link: str, ratios: DataFrame | None = N
     cameras). Shift: median of cd - s R cs. Cameras off by more than ``max_deg``, or by more than ``max_off`` (default: three times the median
     distance), are left out of a second fit, unless all would be. ``rotation_deg`` and ``off`` are medians, ``spread`` that of the ratios.
     """
-    rows, count = materialise_counted(cameras.select(F.col(link).alias("l"), "rd", "cd", "rs", "cs", multiply(transpose(F.col("rd")), F.col("rs")).alias("turn")).filter("l is not null"), "frames-cameras")
+    rows, count = materialise_counted(cameras.select(F.col(link).alias("l"), "cd", "cs", multiply(transpose(F.col("rd")), F.col("rs")).alias("turn")).filter("l is not null"), "frames-cameras")
     heavy = heavy_keys(rows, "l", count)
     met = lambda some, right: lookup_join(some, right, "l", "inner", heavy=heavy)
     if ratios is not None:
         r, count = materialise_counted(ratios.select(F.col(link).alias("l"), "v"), "frames-ratios")
         middle = materialise(grouped_quantile(r, "l", "v", 0.5, "v50"), "frames-scale")
-        scale = middle.select("l", F.exp("v50").alias("s"))
+        scale = middle.select("l", F.exp("v50").alias("s"), F.lit(None).cast("double").alias("spread"))
         beside = (lookup_join(r, middle, "l", "inner", count), {"spread": F.abs(F.col("v") - F.col("v50"))})
     kept = rows
     for last in (False, True):
@@ -58,19 +58,19 @@ def fit_from_cameras(cameras: DataFrame, link: str, ratios: DataFrame | None = N
         if ratios is None:
             flat = kept.select("l", *[F.get("cs", F.lit(k)).alias(f"a{k}") for k in range(3)], *[F.get("cd", F.lit(k)).alias(f"b{k}") for k in range(3)])
             fit = similarity_fit(flat, "l", ["a0", "a1", "a2"], ["b0", "b1", "b2"])
-            scale = fit.select("l", F.when(F.isnan("s") | (F.col("n") < 3), F.lit(1.0)).otherwise(F.col("s")).alias("s"))
-        first = materialise(turn.join(scale, "l", "left").select("l", "R", F.coalesce("s", F.lit(1.0)).alias("s")), "frames-turn")
-        near = met(kept, first).withColumn("moved", times(rotate(F.col("R"), F.col("cs")), F.col("s")))
+            scale = fit.select("l", F.when(F.isnan("s") | (F.col("n") < 3), F.lit(1.0)).otherwise(F.col("s")).alias("s"), F.lit(None).cast("double").alias("spread"))
+        first = materialise(turn.join(scale, "l", "left").select("l", "R", F.coalesce("s", F.lit(1.0)).alias("s"), "spread"), "frames-turn")
+        near = met(kept, first.drop("spread")).withColumn("moved", times(rotate(F.col("R"), F.col("cs")), F.col("s")))
         axes = {f"t{k}": F.get("cd", F.lit(k)) - F.get("moved", F.lit(k)) for k in range(3)}
         # the ratios' spread is found along with the first shift
         told = ratios is not None and not last
         shift = _medians("l", (near, axes), *([beside] if told else [])).filter(" or ".join(f"{t} is not null" for t in axes))
-        fitted = first.join(shift, "l").select("l", similarity(F.col("s"), F.col("R"), F.array(*axes)).alias("m"), *(["spread"] if told else []))
+        fitted = (first.drop("spread") if told else first).join(shift, "l").select("l", similarity(F.col("s"), F.col("R"), F.array(*axes)).alias("m"), "spread")
         fitted = materialise(fitted, "frames-fit")
         if told:
-            spread, fitted = fitted.select("l", "spread"), fitted.select("l", "m")
+            scale = fitted.select("l", "m.s", "spread")
             forget(r)
-        judged = met(rows, fitted).select(*(["l"] if last else rows.columns), angle_between_deg(F.col("turn"), F.col("m.r")).alias("deg"), _distance(apply_similarity(F.col("m"), F.col("cs")), F.col("cd")).alias("far"))
+        judged = met(rows, fitted.drop("spread")).select(*(["l"] if last else rows.columns), angle_between_deg(F.col("turn"), F.col("m.r")).alias("deg"), _distance(apply_similarity(F.col("m"), F.col("cs")), F.col("cd")).alias("far"))
         judged = materialise(judged, "frames-judged")
         if last:
             forget(rows)
@@ -79,13 +79,12 @@ def fit_from_cameras(cameras: DataFrame, link: str, ratios: DataFrame | None = N
         median = materialise(_medians("l", (judged, middles)).filter(" and ".join(f"{c} is not null" for c in middles)), "frames-off")
         limit = F.lit(max_off) if max_off is not None else 3 * F.greatest("off", F.lit(1e-9))
         good = (F.col("deg") <= max_deg) & (F.col("far") <= limit)
-        some = met(judged, median).groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("inliers"))
+        some = met(judged, median).groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("inliers"), *[F.first(c).alias(c) for c in middles])
         if not last:
-            some = materialise(median.join(some, "l").select("l", "off", (F.col("inliers") == 0).alias("none")), "frames-some")
+            some = materialise(some.select("l", "off", (F.col("inliers") == 0).alias("none")), "frames-some")
             kept = materialise(met(judged, some).filter(good | F.col("none")).select(*rows.columns), "frames-kept")
             forget(judged)
-    out = fitted.join(some, "l").join(median, "l")
-    out = out.join(spread, "l", "left") if ratios is not None else out.withColumn("spread", F.lit(None).cast("double"))
+    out = fitted.join(some, "l")
     return out.select(F.col("l").alias(link), "n", "inliers", "m", "rotation_deg", "off", "spread")
 
 

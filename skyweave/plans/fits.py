@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyweave.functions.pose import angle_between_deg, apply_similarity, centre, invert_similarity, let, move_pose, multiply, project, rotation_of_vector
+from skyweave.functions.pose import angle_between_deg, apply_similarity, centre, invert_similarity, move_pose, multiply, project, rotation_of_vector
 from skyweave.operators.adjust import Lens, bundle_adjust, staged_adjustment
 from skyweave.operators.epipolar import relative_poses
 from skyweave.operators.estimators import ROTATION, flight_offsets, line_fit, mean_rotation, robust_similarity_fit, triangulate
@@ -50,9 +50,11 @@ def _two_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Cameras in the world and in a frame that the similarity of their group takes to it; every eleventh camera is turned and shifted."""
     p = poses(spark, sf).select("image_id", (F.col("image_id") % 3).alias("grp"), "r", "t").withColumn("m", _world(F.col("grp")))
     p = p.withColumn("bad", F.when(F.col("image_id") % 11 == 0, 0.5).otherwise(0.0))
+    p = p.withColumn("wrong", rotation_of_vector(F.array("bad", F.lit(0.0), F.lit(0.0))))
+    # arrays that later steps use are columns of their own, so that each is found once a row
     r, t = move_pose(F.col("m"), F.col("r"), F.col("t"))
-    wrong = rotation_of_vector(F.array("bad", F.lit(0.0), F.lit(0.0)))
-    moved = p.select("grp", "image_id", centre(F.col("r"), F.col("t")).alias("cs"), F.col("r").alias("rs"), let(wrong, lambda w: multiply(w, r)).alias("rd"), centre(r, t).alias("c"), "bad")
+    p = p.select("grp", "image_id", "bad", "wrong", F.col("r").alias("rs"), centre(F.col("r"), F.col("t")).alias("cs"), r.alias("r"), t.alias("t"))
+    moved = p.select("grp", "image_id", "rs", "cs", multiply(F.col("wrong"), F.col("r")).alias("rd"), centre(F.col("r"), F.col("t")).alias("c"), "bad")
     return materialise(moved.select("grp", "image_id", "rs", "cs", "rd", F.transform("c", lambda x: x + F.col("bad") * 800).alias("cd")), "two-frames")
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skyweave import session
 from skyweave.operators import ordering
 from skyweave.operators.ordering import grouped_quantile, positions_in_group, running_totals, with_index
 from skyweave.operators.sequences import consecutive_runs, run_means, steps, sweep_windows
@@ -44,8 +45,8 @@ def test_quantiles_of_groups(spark, q):
 
 def test_quantiles_write_one_table_and_meet_groups_of_many_partitions(spark, monkeypatch):
     written = []
-    write = ordering.materialise
-    monkeypatch.setattr(ordering, "materialise", lambda df, label: written.append(label) or write(df, label))
+    path = session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda spark, label: written.append(label) or path(spark, label))
     monkeypatch.setattr(ordering, "shuffle_width", lambda spark: 9)
     rng = random.Random(4)
     inf = float("inf")
